@@ -1,7 +1,7 @@
 """The queries of the corpus operators and the SQL that checks them."""
 
-from quarry.llm import language, packing, pii
+from quarry.llm import language, packing, pii, sharding, urls
 
-MODULES = (pii, language, packing)
+MODULES = (pii, sharding, language, packing, urls)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
