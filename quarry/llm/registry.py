@@ -1,7 +1,7 @@
 """The queries of the corpus operators and the SQL that checks them."""
 
-from quarry.llm import language, mixing, packing, pii, sharding, urls
+from quarry.llm import language, mixing, packing, pii, sharding, simhash, urls
 
-MODULES = (pii, sharding, language, packing, urls, mixing)
+MODULES = (pii, sharding, language, packing, urls, mixing, simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
