@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET,
         }
     )
     full = F.col("cap") * F.col("rest") <= F.col("weight") * F.col("left")
-    level = F.min(F.when(~full, F.col("left") / F.col("rest"))).over(all_)
+    level = F.max(F.when(~full, F.col("left") / F.col("rest"))).over(all_)  # that of the first one not full; later ones lie lower
     target = F.when(full, F.col("cap").cast("double")).otherwise(F.col("weight") * level)
     return rows.select("source", "source_size", target.alias("target"))
 
@@ -156,7 +156,7 @@ fills AS (
 levels AS (SELECT *, cap * rest <= weight * remaining AS is_full FROM fills),
 goals AS (
   SELECT source, source_size,
-    CASE WHEN is_full THEN cap::DOUBLE ELSE weight * min(CASE WHEN NOT is_full THEN remaining / rest END) OVER () END AS target
+    CASE WHEN is_full THEN cap::DOUBLE ELSE weight * max(CASE WHEN NOT is_full THEN remaining / rest END) OVER () END AS target
   FROM levels),
 placed AS (
   SELECT s.*, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS words,

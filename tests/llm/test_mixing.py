@@ -29,7 +29,10 @@ def goals(sizes):
 
 
 def test_sql(spark):
-    same_rows(spark, mixing.op6_mixing, mixing.ORACLES["op6_mixing"], "/root/testdata/sf0.01")
+    sf = "/root/testdata/sf0.01"
+    same_rows(spark, mixing.op6_mixing, mixing.ORACLES["op6_mixing"], sf)
+    texts = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    check(mixing.op6_mixing(spark, sf).collect(), texts)
 
 
 def check(rows, texts):
