@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import string_field, table, with_text_columns
+from quarry.llm.common import quoted, string_field, table, with_text_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 NGRAMS = (4, 3, 2, 1)
 #: Unseen words remembered by a task at a time.
 CACHE = 200_000
+#: Least posterior of a text that is in some language.
+MIN_SCORE = 0.3
 
 
 def words_of(text: str) -> list[str]:
@@ -145,14 +147,23 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_entries: int = 20_000, text
     return Model(sorted(zip(found["lang"], found["n"], found["key"], found["many"], strict=True)))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior of the best language."""
 
     def maker():
         scorer = Scorer(model)
         return lambda texts: [list(c) for c in zip(*map(scorer.predict, texts), strict=True)]
 
-    return with_text_columns(docs, [string_field("lang_pred"), T.StructField("score", T.DoubleType())], maker, text, binary=False)
+    return with_text_columns(docs, [string_field(names[0]), T.StructField(names[1], T.DoubleType())], maker, text, binary=False)
+
+
+def recognised(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, text: str = "text") -> DataFrame:
+    """The rows whose text is in some language of the model, with the columns of ``docs``.
+
+    Texts without a letter, and texts no language of which reaches ``min_score``, go.
+    """
+    found = predict(docs, model, text, ("__pred", "__score"))
+    return found.where((F.col("__pred") != "und") & (F.col("__score") >= min_score)).select(*quoted(docs.columns))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

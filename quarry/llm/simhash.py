@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import columns_but, long_field, quoted, table, with_text_columns, written
@@ -194,6 +194,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     return kept.join(of.join(least, "root").select("fp", "root", "component_id"), "fp").select(*[f"`{c}`" for c in kept.columns], "root", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, text: str = "text", doc_id: str = "doc_id", run_cap: int = RUN_CAP) -> DataFrame:
+    """One row of each component, as it was: that of the least doc_id (nulls last), then the least text hash.
+
+    Exactly repeated rows are one component, so one stays. Texts are moved once, to meet the
+    short list of the rows that stay.
+    """
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
+    slim = hashed.select(F.col(doc_id).alias("__id"), "__hash", text)
+    found = near_duplicates(slim, radius, width, text, "__id", run_cap)
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")).alias("__first")
+    stay = found.groupBy("root").agg(first).select(F.col("__first.__id").alias("__s"), F.col("__first.__hash").alias("__h"))
+    rows = hashed.join(stay, F.col(doc_id).eqNullSafe(F.col("__s")) & (F.col("__hash") == F.col("__h")))
+    place = F.row_number().over(Window.partitionBy("__s", "__h").orderBy(F.lit(0)))
+    return rows.withColumn("__place", place).where("__place = 1").select(*quoted(docs.columns))
+
+
 def hex_of(column: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 

@@ -89,4 +89,4 @@ def test_visits_follow_the_success_estimate():
 def test_blocks_cover_every_bucket():
     counts = [(0, 0, 3), (0, 1, 50), (0, 5, 2), (1, 2, 7)]
     found = ann.blocks_of(counts, 4, 10)
-    assert found == {(0, 0): (0, 1), (0, 1): (1, 5), (0, 5): (6, 1), (1, 2): (7, 1)}
+    assert found == {(0, 0): (0, 1), (0, 1): (1, 7), (0, 5): (8, 1), (1, 2): (9, 1)}
