@@ -30,7 +30,9 @@ from quarry.llm.common import quoted, string_field, table, with_text_columns
 WORD = re.compile(r"[^\W\d_]+")
 NGRAMS = (4, 3, 2, 1)
 #: Unseen words remembered by a task at a time.
-CACHE = 200_000
+CACHE = 60_000
+#: Distinct words a counting task holds before it passes them on.
+HELD = 100_000
 #: Least posterior of a text that is in some language.
 MIN_SCORE = 0.3
 
@@ -49,39 +51,55 @@ def has_letter(words: list[str]) -> bool:
 
 
 class Model:
-    """Log frequencies: ``words`` and each ``grams[n]`` map a key to one value per language."""
+    """Log frequencies: ``index[n]`` maps a word (n = 0) or n-gram to its row of ``rows``, one value per language.
+
+    Travels to tasks as joined keys and one matrix, small and quick to read.
+    """
 
     def __init__(self, counts: list[tuple[str, int, str, int]]):
         """counts: (language, n or 0 for words, key, occurrences)."""
         self.langs = sorted({c[0] for c in counts})
         at = {x: i for i, x in enumerate(self.langs)}
-        self.tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *NGRAMS)}
-        for lang, n, key, many in counts:
-            self.tables[n].setdefault(key, np.zeros(len(self.langs)))[at[lang]] += many
-        for found in self.tables.values():
-            if found:
-                totals = sum(found.values()) + 0.5 * len(found)
-                for key, v in found.items():
-                    found[key] = np.log((v + 0.5) / totals).astype(np.float32)
+        self.index: dict[int, dict[str, int]] = {n: {} for n in (0, *NGRAMS)}
+        parts, first = [], 0
+        for n, found in self.index.items():
+            own = [c for c in counts if c[1] == n]
+            for _, _, key, _ in own:
+                found.setdefault(key, first + len(found))
+            table_ = np.zeros((len(found), max(1, len(self.langs))))
+            for lang, _, key, many in own:
+                table_[found[key] - first, at[lang]] += many
+            parts.append(np.log((table_ + 0.5) / (table_.sum(axis=0) + 0.5 * len(found))) if found else table_)
+            first += len(found)
+        self.rows = np.concatenate(parts).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {"langs": self.langs, "rows": self.rows, "keys": {n: "\n".join(found) for n, found in self.index.items()}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.langs, self.rows, self.index, first = state["langs"], state["rows"], {}, 0
+        for n, keys in state["keys"].items():
+            self.index[n] = {k: first + i for i, k in enumerate(keys.split("\n") if keys else ())}
+            first += len(self.index[n])
 
     def unseen(self, word: str) -> np.ndarray:
         for n in NGRAMS:
-            known = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
+            found = self.index[n]
+            known = [r for g in grams_of(word, n) if (r := found.get(g)) is not None]
             if known:
-                return sum(known) / np.float32(len(known))
-        return np.zeros(len(self.langs), np.float32)
+                return self.rows[known].mean(axis=0)
+        return np.zeros(self.rows.shape[1], np.float32)
 
 
 class Scorer(dict):
     """Word to row of ``rows``; rows of unseen words are made on demand and now and then forgotten."""
 
     def __init__(self, model: Model):
-        known = model.tables[0]
-        super().__init__((w, i) for i, w in enumerate(known))
+        known = model.index[0]
+        super().__init__(known)
         self.model, self.fixed = model, len(known)
         self.rows = np.zeros((len(known) + CACHE, max(1, len(model.langs))), np.float32)
-        for i, v in enumerate(known.values()):
-            self.rows[i] = v
+        self.rows[: len(known)] = model.rows[: len(known)]
 
     def __missing__(self, word: str) -> int:
         self[word] = i = len(self)
@@ -95,7 +113,7 @@ class Scorer(dict):
         total = np.zeros(len(self.model.langs))
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
-            if len(self) + len(part) > len(self.rows):
+            if len(self) + len(part) > len(self.rows) and len(self) > self.fixed:
                 for w in list(self)[self.fixed :]:
                     del self[w]
             total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
@@ -113,26 +131,34 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_entries: int = 20_000, text
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(share / n)) for k, n in sorted(sizes.items()) if n > share], F.lit(1.0))
     sample = labelled.where(F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) < rate * (1 << 30))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-        for b in batches:
-            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(k, Counter()).update(words_of(t))
+    def emitted(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        """Words, then the n-grams of one length at a time."""
         for k, words in seen.items():
-            tables = {0: words} | {n: Counter() for n in NGRAMS}
-            for w, many in words.items():
-                for n in NGRAMS:
-                    for g in grams_of(w, n):
-                        tables[n][g] += many
-            for n, found in tables.items():
+            for n in (0, *NGRAMS):
+                found = words
+                if n:
+                    found = Counter()
+                    for w, many in words.items():
+                        for g in grams_of(w, n):
+                            found[g] += many
                 keys = list(found)
-                for i in range(0, len(keys), 100_000):
-                    part = keys[i : i + 100_000]
+                for i in range(0, len(keys), 20_000):
+                    part = keys[i : i + 20_000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k] * len(part)), pa.array([n] * len(part), pa.int32()), pa.array(part), pa.array([found[x] for x in part], pa.int64())],
                         names=["lang", "n", "key", "many"],
                     )
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
+        for b in batches:
+            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen.setdefault(k, Counter()).update(words_of(t))
+                if sum(map(len, seen.values())) > HELD:
+                    yield from emitted(seen)
+                    seen = {}
+        yield from emitted(seen)
+
     top = Window.partitionBy("lang", "n").orderBy(F.desc("many"), "key")
     kept = (
         sample.mapInArrow(count, "lang string, n int, key string, many long")
