@@ -29,7 +29,10 @@ def records_of(text, cut: str | None = None) -> Column:
     """Array of records: the text as it is if it parses, else repaired; null if neither does."""
     kind = f"array<{RECORD}>"
     c = col(text)
-    first = F.from_json(c, kind)
+    sections = F.lit(False)
+    for a, _ in JOINS:
+        sections = sections | c.contains(a)
+    first = F.when(~sections, F.from_json(c, kind))  # the parser would stop after the first section
     return F.coalesce(first, F.from_json(repaired(c, cut), kind))
 
 

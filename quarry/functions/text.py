@@ -5,6 +5,7 @@ Every function maps null to null unless its docstring says otherwise.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -48,6 +49,19 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 URL = r"(?i)\b(?:https?://|ftp://|www\.)[^\s<>\"]+"
 
 
+def arrow(returns: str):
+    """A function over iterators of series as an Arrow UDF that is made where it is used: types need a session."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def call(*columns) -> Column:
+            return F.pandas_udf(f, returns)(*columns)
+
+        return call
+
+    return wrap
+
+
 def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -108,7 +122,7 @@ def chemical_spelling(text) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def unescape_html(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(html.unescape, na_action="ignore")
@@ -121,7 +135,7 @@ def folded(text: str) -> str:
     return "".join(c if c in KEPT or c.isascii() else unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in text)
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def fold_ascii(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(folded, na_action="ignore")
@@ -317,7 +331,7 @@ def abbreviation_pairs(text: str) -> list[tuple[str, str]]:
     return found
 
 
-@F.pandas_udf("array<struct<short:string,long:string>>")
+@arrow("array<struct<short:string,long:string>>")
 def abbreviations(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Definitions of a paragraph's abbreviations."""
     for t in texts:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import arrow
+
 
 def pending(candidates: DataFrame, done: DataFrame, key: str, last: int | None = None, limit: int | None = None, done_key: str | None = None) -> DataFrame:
     """Candidates over the cursor, the first ``limit`` by key, without those done: the limit is taken first."""
@@ -63,7 +65,7 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def similarity(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for x, y in a:
         yield pd.Series([ratio(p, q) if p is not None and q is not None else 0.0 for p, q in zip(x, y, strict=True)], dtype="float64")

@@ -13,10 +13,10 @@ PARTS = ("material", "value", "property")
 
 def _sided(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left with what any right row of the same paragraph matches: the material, the value, both in one row."""
-    a = left.withColumn("__row", F.monotonically_increasing_id())
+    a = left.select(F.monotonically_increasing_id().alias("__row"), key, *[F.col(c).alias(f"e_{c}") for c in ("material", "material_coreferents", "property_value")])
     b = right.select(F.col(key), *[F.col(c).alias(f"o_{c}") for c in ("material", "material_coreferents", "property_value")])
-    same_material = materials_match("material", "o_material", F.col("material_coreferents"), F.col("o_material_coreferents"))
-    same_value = values_match("property_value", "o_property_value")
+    same_material = materials_match("e_material", "o_material", F.col("e_material_coreferents"), F.col("o_material_coreferents"))
+    same_value = values_match("e_property_value", "o_property_value")
     hit = lambda c: F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False))
     return a.join(b, key, "left").groupBy("__row").agg(hit(same_material).alias("material"), hit(same_value).alias("value"), hit(same_material & same_value).alias("property"))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import caption_number, filename_to_doi, normalize_chars
+from quarry.functions.text import arrow, caption_number, filename_to_doi, normalize_chars
 from quarry.operators.joins import without_contained
 from quarry.operators.predicates import is_reference, valid_paragraph
 
@@ -216,7 +216,7 @@ def parse(source: str | None, rule: Rule = GENERIC) -> dict:
 DOCUMENT = "struct<title:string,abstract:string,doi:string,paragraphs:array<string>,tables:array<struct<caption:string,header:array<string>,body:array<array<string>>,jsonl:array<string>>>>"
 
 
-@F.pandas_udf(DOCUMENT)
+@arrow(DOCUMENT)
 def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Whole documents and their publishers, to their parts; unknown publishers are read by the generic rule."""
     rules = {r.publisher: r for r in RULES}
