@@ -260,7 +260,7 @@ def polymer_type(name) -> Column:
     for m in COPOLYMER_MARKS:
         marks = marks | c.contains(m)
     capitals = c.contains("-") & (F.upper(c) == c)
-    return F.when(c.contains("star"), "star_polymer").when((times(c, "poly") > 1) | marks | capitals, "copolymer").otherwise("homopolymer")
+    return F.when(c.isNull(), None).when(c.contains("star"), "star_polymer").when((times(c, "poly") > 1) | marks | capitals, "copolymer").otherwise("homopolymer")
 
 
 def sentences(text) -> Column:
