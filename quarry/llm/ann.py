@@ -20,7 +20,8 @@ queries of the block stream by.
 
 Vectors null, zero, empty, or with a null or non-finite component take no part, nor do
 null ids. Shorter vectors count as padded with zeros. A query never meets rows of its
-own id; equal (id, score) pairs count once. Scores are sums in component order, in
+own id; equal (id, score) pairs count once, and repeated (id, vector) rows are dropped
+before vectors are counted and dealt. Scores are sums in component order, in
 double precision; ties go to the smaller id.
 """
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import table, written
 from quarry.llm.topk import usable
 
 K, EVERY = 20, 20
@@ -182,12 +183,19 @@ def _met(dim: int, k: int):
             scores = vectors[i : i + 256] @ dense.T
             scores[~visited[i : i + 256][:, of] | (asked[i : i + 256, None] == ids)] = -np.inf
             for j, row in enumerate(scores):
-                cut = -np.inf if len(row) <= k else row[np.argpartition(-row, k - 1)[:k]].min()
-                near = np.flatnonzero((row >= cut - 1e-9 * (1 + abs(cut)) if np.isfinite(cut) else row > -np.inf) & (row > -np.inf))
-                if not len(near):
+                many = k
+                while True:  # equal (id, score) pairs count once: more rows are taken until k pairs differ
+                    cut = -np.inf if len(row) <= many else row[np.argpartition(-row, many - 1)[:many]].min()
+                    near = np.flatnonzero((row >= cut - 1e-9 * (1 + abs(cut)) if np.isfinite(cut) else row > -np.inf) & (row > -np.inf))
+                    value = exact(vectors[i + j], dense[near])
+                    best = np.lexsort((ids[near], -value))
+                    fresh = np.concatenate([[True], (np.diff(ids[near][best]) != 0) | (np.diff(value[best]) != 0)])[: len(best)]
+                    best = best[fresh][:k]
+                    if len(best) == k or not np.isfinite(cut):
+                        break
+                    many *= 4
+                if not len(best):
                     continue
-                value = exact(vectors[i + j], dense[near])
-                best = np.lexsort((ids[near], -value))[:k]
                 out[0].append(np.full(len(best), asked[i + j]))
                 out[1].append(ids[near][best])
                 out[2].append(value[best])
@@ -237,6 +245,7 @@ def search(
     zero = F.forall("vector", lambda x: x == 0)
     c, q = (x.select(F.col("id").cast("long").alias("id"), "vector").where(usable("vector") & F.col("id").isNotNull() & ~zero) for x in (candidates, queries))
     spark = c.sparkSession
+    c = written(c.dropDuplicates(["id", "vector"]), "candidates")
     made = fit(c, tables, hashes, width, seed)
     if made is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -90,3 +90,16 @@ def test_blocks_cover_every_bucket():
     counts = [(0, 0, 3), (0, 1, 50), (0, 5, 2), (1, 2, 7)]
     found = ann.blocks_of(counts, 4, 10)
     assert found == {(0, 0): (0, 1), (0, 1): (1, 7), (0, 5): (8, 1), (1, 2): (9, 1)}
+
+
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
+    first = sorted(rows, key=lambda r: -dot(rows[0][1], r[1]))[:5]
+    rows += [r for r in first for _ in range(60)]
+    rows += [(500, [2.0 * x for x in rows[0][1]] + [float(i)]) for i in range(40)]  # one id and score for queries of 6 numbers
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = ann.search(df, df.where("id in (0, 20, 40)")).collect()
+    for q in (0, 20, 40):
+        mine = sorted((-r.score, r.vec_id) for r in got if r.query_id == q)
+        assert mine == sorted({(-dot(dict(rows[:120])[q], v), i) for i, v in rows if i != q})[:20]
