@@ -2,7 +2,10 @@
 
 Blocks are windows of ``BLOCK`` words, each starting ``STRIDE`` after the last, so that
 any passage of up to ``BLOCK - STRIDE + 1`` words lies whole in some block. A block
-matches a template if at least ``threshold`` of the template's distinct tokens are in it.
+matches a template if at least ``threshold`` of the template's distinct tokens are in it,
+and among them those that name its license: where a template of another label alone would
+meet the threshold, the tokens that it doesn't have must all be there, each beside a word
+that it stands beside in the template (``mit`` is a German word, too).
 
 Tokens are ordered by how many documents of the whole table hold them, rarest first. A
 template of m tokens that must share n of them is found by its first m - n + 1 tokens in
@@ -68,12 +71,20 @@ class Templates:
                 if tokens:
                     need = max(1, math.ceil(share * len(tokens) - 1e-9))
                     self.items.append((words, label, tokens, need, base))
+        self.naming = [self._naming(*item) for item in self.items]
         self.by_token: dict[bytes, list[int]] = {}
         for i, (_, _, tokens, need, _) in enumerate(self.items):
             for w in tokens[: len(tokens) - need + 1]:
                 self.by_token.setdefault(w, []).append(i)
         self.vocabulary = {w for item in self.items for w in item[2]}
 
+    def _naming(self, words: list[bytes], label: str, tokens: list[bytes], need: int, base: bool) -> list[tuple[bytes, set[tuple[bytes, bytes]]]]:
+        """Tokens by which a template differs from those of other labels that would meet its threshold, and the pairs of words they are in."""
+        others = [set(x[2]) for x in self.items if not base and x[1] != label and not x[4]]
+        named = {w for x in others if len(x.intersection(tokens)) >= need for w in tokens if w not in x}
+        pairs = list(zip(words, words[1:], strict=False))
+        return [(w, {p for p in pairs if w in p}) for w in sorted(named)]
+
     def scan(self, words: list[bytes], block: int = BLOCK, stride: int = STRIDE) -> tuple[dict[int, list[int]], dict[int, float]]:
         """Places of each base phrase, and each template's largest share in a block that meets its threshold."""
         by_token = self.by_token
@@ -93,7 +104,7 @@ class Templates:
             have = self.vocabulary.intersection(part)
             for t in found:
                 phrase, _, tokens, need, base = self.items[t]
-                if len(have) < need:
+                if len(have) < need or not all(w in have and any(p in pairs for p in zip(part, part[1:], strict=False)) for w, pairs in self.naming[t]):
                     continue
                 shared, left = 0, len(tokens)
                 for w in tokens:
@@ -132,7 +143,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and ``matches``.
 
     matches: (template, label, share) of every template that meets the threshold in some
-    block. Phrases must be shorter than the blocks' overlap.
+    block that has its naming tokens. Phrases must be shorter than the blocks' overlap.
     """
     if any(len(words_of(p.encode())) > BLOCK - STRIDE + 1 for p, _ in phrases):
         raise ValueError("a base phrase is longer than the overlap of blocks")

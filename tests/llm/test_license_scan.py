@@ -57,3 +57,22 @@ def test_whole_table(spark):
     rows = ls.op9_licenses(spark, sf).collect()
     assert {(r.doc_id, *row(r)) for r in rows} == {(d, *brute(t)) for d, t in texts.items()}
     assert sum(r.n_base > 0 for r in rows) > 5 and all(r.doc_id is not None for r in rows)
+
+
+def test_notices_carry_their_own_labels(spark):
+    notices = {
+        "x Licensed under the Apache License, see y": "apache",
+        "Arbeit mit Freude. Licensed under the Apache License": "apache",
+        "licensed under the mit license": "mit",
+        "licensed under the mit": "mit",
+        "licensed under mit license": "mit",
+        "licensed under the bsd license": "bsd",
+        "licensed under the foo license": "",
+        "the GNU General Public License": "gpl",
+        "gnu lesser public license": "lgpl",
+        "licensed under cc by 4 0": "cc-by",
+    }
+    docs = spark.createDataFrame(list(notices.items()), "text string, want string")
+    for r in ls.scan(docs).collect():
+        assert r.labels == r.want, r.text
+        assert {m.label for m in r.matches} <= {r.want}
