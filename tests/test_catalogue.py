@@ -39,3 +39,9 @@ def test_equals_sql(spark, con, name):
 def test_runs(spark, name):
     rows = catalogue.QUERIES[name](spark, SF)
     assert rows.count() >= 0 and rows.columns
+
+
+def test_every_name_finds_its_own_plural(spark):
+    rows = catalogue.QUERIES["fuzzy_names"](spark, SF).where("match_rank = 1").collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/part.parquet").count()
+    assert all(r.match == r.name + "s" for r in rows)
