@@ -1,8 +1,7 @@
-"""What the corpus operators share: shared-folder tables and Arrow column appenders."""
+"""What the corpus operators share: shared-folder tables, scratch names and Arrow column appenders."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +15,14 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (single-machine tests) a temporary folder is set once.
+    Where the setting is absent, a local session (one machine, as in tests) gets a
+    temporary folder once; on a cluster that is an error, as executors would each write
+    to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,6 +36,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by ``written`` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if file.startswith(("file:", "/")) or "://" in file:
+                path = spark._jvm.org.apache.hadoop.fs.Path(file)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(names: list[str], base: str) -> str:
+    """``base``, lengthened until it clashes with none of ``names`` in any case."""
+    low = {n.lower() for n in names}
+    while base.lower() in low:
+        base += "_"
+    return base
+
+
 def columns_but(df: DataFrame, taken: list[str]) -> list[str]:
     """Columns of ``df`` whose names don't clash (in any case) with ``taken``."""
     low = {t.lower() for t in taken}
@@ -59,18 +80,16 @@ def with_text_columns(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     keep = columns_but(df, [f.name for f in fields])
-    extra = text not in keep
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     arrow = to_arrow_schema(schema)
-    source = df.select(*quoted(keep), *([F.col(text).alias("__text")] if extra else []))
-    name, n = ("__text" if extra else text), len(keep)
+    source, n = df.select(*quoted(keep), F.col(text).alias(unused(keep, "text"))), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = maker()
         for b in batches:
             if not b.num_rows:
                 continue
-            t = b.column(b.schema.get_field_index(name))
+            t = b.column(n)
             t = (t.cast(pa.binary()) if binary else t).to_pylist()
             made = [pa.array(v, type=arrow.field(n + i).type) for i, v in enumerate(fn(t))]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=arrow.names)
@@ -88,12 +107,3 @@ def long_field(name: str) -> T.StructField:
 
 def string_field(name: str) -> T.StructField:
     return T.StructField(name, T.StringType())
-
-
-def ensure_workers(spark: SparkSession) -> None:
-    """Python workers find this package even where it isn't installed."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    old = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in old.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, old) if x)

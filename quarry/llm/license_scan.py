@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
-Blocks are windows of ``BLOCK`` words, each starting ``STRIDE`` after the last, so that
-any passage of up to ``BLOCK - STRIDE + 1`` words lies whole in some block. A block
+Blocks are windows of ``BLOCK`` words, or of twice the longest template where that is more,
+each starting half a block after the last, so that any passage as long as a template or
+phrase lies whole in some block. A block
 matches a template if at least ``threshold`` of the template's distinct tokens are in it,
 and among them those that name its license: where a template of another label alone would
 meet the threshold, the tokens that it doesn't have must all be there, each beside a word
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import long_field, string_field, table, with_text_columns
 
-BLOCK, STRIDE, THRESHOLD = 96, 48, 0.8
+BLOCK, THRESHOLD = 96, 0.8
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEMPLATES = (
     ("licensed under the mit license", "mit"),
@@ -63,6 +64,7 @@ class Templates:
     """Templates with their tokens in global order, and the prefix tokens that find them."""
 
     def __init__(self, phrases, templates, frequency: dict[bytes, int], threshold: float = THRESHOLD):
+        self.block = max([BLOCK, *(2 * len(words_of(t.encode())) for t, _ in (*phrases, *templates))])
         self.items = []
         for rows, share, base in ((phrases, 1.0, True), (templates, threshold, False)):
             for text, label in rows:
@@ -85,9 +87,9 @@ class Templates:
         pairs = list(zip(words, words[1:], strict=False))
         return [(w, {p for p in pairs if w in p}) for w in sorted(named)]
 
-    def scan(self, words: list[bytes], block: int = BLOCK, stride: int = STRIDE) -> tuple[dict[int, list[int]], dict[int, float]]:
+    def scan(self, words: list[bytes]) -> tuple[dict[int, list[int]], dict[int, float]]:
         """Places of each base phrase, and each template's largest share in a block that meets its threshold."""
-        by_token = self.by_token
+        by_token, block, stride = self.by_token, self.block, self.block // 2
         hits = [i for i, w in enumerate(words) if w in by_token]
         places: dict[int, set[int]] = {}
         shares: dict[int, float] = {}
@@ -143,10 +145,9 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and ``matches``.
 
     matches: (template, label, share) of every template that meets the threshold in some
-    block that has its naming tokens. Phrases must be shorter than the blocks' overlap.
+    block that has its naming tokens. Equal shares all count; repeated rows are scanned row by
+    row; columns of ``docs`` named like the new ones are replaced. An empty table gives an empty one.
     """
-    if any(len(words_of(p.encode())) > BLOCK - STRIDE + 1 for p, _ in phrases):
-        raise ValueError("a base phrase is longer than the overlap of blocks")
     vocabulary = {w for t, _ in (*phrases, *templates) for w in words_of(t.encode())}
     frequency = frequencies(docs, vocabulary, text)
     match = T.StructType([string_field("template"), string_field("label"), T.StructField("share", T.DoubleType())])

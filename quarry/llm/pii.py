@@ -113,7 +113,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
                 left -= 1
             m = _QUAD.match(text, left)
             if m:
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
                     found.append((1, left, m.end()))
                 ip_end = m.end()
             else:

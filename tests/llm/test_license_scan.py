@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 
@@ -6,20 +7,33 @@ from quarry.llm import license_scan as ls
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def brute(text, threshold=ls.THRESHOLD):
+@functools.cache
+def naming(template, label, templates, threshold):
+    """Tokens that tell a template from those of other labels which hold enough of its tokens to meet the threshold."""
+    t = set(template.split())
+    rivals = [set(o.split()) for o, other in templates if other != label and len(t & set(o.split())) >= threshold * len(t) - 1e-9]
+    return {w for o in rivals for w in t - o}
+
+
+def brute(text, templates=ls.TEMPLATES, threshold=ls.THRESHOLD, size=ls.BLOCK):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     places, labels, score = [], set(), 0.0
     for p, label in ls.PHRASES:
         p = p.split()
         at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         places += [(i, label) for i in at]
-    blocks = [set(words[i : i + ls.BLOCK]) for i in range(0, max(1, len(words) - ls.BLOCK + ls.STRIDE), ls.STRIDE)]
-    for t, label in ls.TEMPLATES:
-        t = set(t.split())
-        best = max(len(t & b) / len(t) for b in blocks)
-        if best >= threshold - 1e-9:
-            labels.add(label)
-            score = max(score, best)
+    vocabulary = {w for t, _ in templates for w in t.split()}
+    blocks = [words[i : i + size] for i in range(0, max(1, len(words) - size + size // 2), size // 2)]
+    blocks = [b for b in blocks if vocabulary.intersection(b)]
+    for template, label in templates:
+        inside = list(zip(template.split(), template.split()[1:]))
+        named, t = naming(template, label, templates, threshold), set(template.split())
+        for b in blocks:
+            share = len(t & set(b)) / len(t)
+            beside = set(zip(b, b[1:])) & set(inside)
+            if share >= threshold - 1e-9 and all(any(w in pair for pair in beside) for w in named):
+                labels.add(label)
+                score = max(score, share)
     base = {x for _, x in places}
     at = [i for i, _ in places]
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else score
@@ -76,3 +90,16 @@ def test_notices_carry_their_own_labels(spark):
     for r in ls.scan(docs).collect():
         assert r.labels == r.want, r.text
         assert {m.label for m in r.matches} <= {r.want}
+
+
+def test_templates_longer_than_a_block(spark):
+    rng = random.Random(2)
+    long = " ".join(f"t{i}" for i in range(300))
+    templates = (*ls.TEMPLATES, (long, "own"))
+    part = long.split()
+    some = [w for w in part if rng.random() < 0.9]
+    texts = ["y " * 777 + long + " z" * 500, " ".join(some), " ".join(part[:200]), "y " * 5000 + " ".join(some) + " y" * 5000, "licensed under the mit license"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, __text string")
+    got = {r.doc_id: row(r) for r in ls.scan(docs, templates=templates).collect()}
+    assert got == {i: brute(t, templates, size=600) for i, t in enumerate(texts)}
+    assert [got[i][5] for i in range(5)] == ["own", "own", "", "own", "mit"]

@@ -3,6 +3,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import pii
 
@@ -21,7 +22,7 @@ def brute(text):
             digits = re.sub("[^0-9]", "", m.group())
             ok = {
                 "email": True,
-                "ip": all(int(x) <= 255 for x in m.group().split(".")) if k == "ip" else True,
+                "ip": all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split(".")) if k == "ip" else True,
                 "card": 16 <= len(digits) <= 19 and pii.luhn(digits),
                 "phone": 8 <= len(digits) <= 15,
             }[k]
@@ -46,6 +47,12 @@ def test_joined_items_equal_a_regex_scan(parts):
     assert base("".join(parts)) == brute("".join(parts))
 
 
+def test_digit_runs_of_any_length():
+    for zeros in (1, 3, 4299, 5000):
+        for text in ("0" * zeros + "1.2.3.4", "1.2.3." + "0" * zeros, "1." + "9" * zeros + ".3.4", "4" * zeros, "+1" + "2" * zeros):
+            assert base(text) == brute(text)
+
+
 def test_added_kinds_and_masks():
     text = 'see http://ann:pw1@host.example/x now. token = "04dbebab91ab85687d33" IBAN: GB82 WEST 1234 5698 7654 32, account no: 12-345678.'
     spans = pii.find_spans(text)
@@ -64,6 +71,8 @@ def test_query_edges(spark):
     got = {(r.doc_id, r.n_email, r.spans) for r in pii.digest(docs).collect()}
     assert got == {(1, 0, ""), (2, 0, ""), (None, 1, "email:0:5"), (5, 1, "email:600000:600005")}
     assert pii.digest(docs.limit(0)).count() == 0
+    clashing = docs.withColumnsRenamed({"n_email": "__text"}).withColumn("TEXT_", F.lit(1))
+    assert {(r["__text"], r.TEXT_) for r in pii.digest(clashing).collect()} == {("k", 1), (None, 1)}
     kept = pii.redact(docs.select("text", "doc_id")).collect()
     assert [r.text for r in kept if r.doc_id is None] == ["[EMAIL]"]
     assert [r.text for r in kept if r.doc_id == 1] == [None]
