@@ -15,7 +15,7 @@ documents; a source with a third of all rows is spread over 4096 groups.
 
 A null source is a source of its own, last in order. Null and empty texts have size 0 and
 take nothing. Repeated rows share a digest and are served one after the other. Extra
-columns never matter; those named like new ones are replaced.
+columns never matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import columns_but, quoted, table, written
+from quarry.llm.common import columns_but, discard, quoted, table, written
 
 WEIGHTS, BUDGET, REPEATS, SEED = (3, 1, 2), 1.5, 2, "17"
+#: Sources whose cuts are broadcast; more are joined by source with each cut at PLACES places.
+MAX_SOURCES, PLACES = 50_000, 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,24 +60,21 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET,
 
 def served(slim: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
     """(source, size, digest, ...) with source_size, target, taken and finish, the virtual time of the first service."""
-    bucket = F.substring("digest", 1, 3)
-    rows = slim.withColumn("__bucket", bucket)
-    totals = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("__size"))
-    goals = targets(totals.groupBy("source").agg(F.sum("__size").alias("source_size")), weights, budget, repeats)
-    before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
-    goals = goals.withColumnRenamed("source", "__t")
-    own = Window.partitionBy("source", "__bucket").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        rows.withColumn("__own", F.coalesce(F.sum("size").over(own), F.lit(0)))
-        .join(shifts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-        .join(goals, F.col("source").eqNullSafe(F.col("__t")))
-    )
-    start = F.col("__own") + F.col("__shift")
+    rows = slim.select(F.struct(*quoted(slim.columns)).alias("row"), "source", "size", "digest", F.substring("digest", 1, 3).alias("bucket"))
+    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
+    goals = targets(totals.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, repeats)
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select("source", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
+    goals = shifts.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("source")
+    goals = goals.withColumnRenamed("bucket", "b")
+    own = Window.partitionBy("source", "bucket").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum("size").over(own), F.lit(0)))
+    rows = rows.join(goals, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    start = F.col("own") + F.col("shift")
     words = F.floor(F.col("target") + 0.5)
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), words - start - F.col("source_size") * k)) for k in range(repeats)), F.lit(0))
     return rows.select(
-        *quoted(slim.columns),
+        *(F.col("row").getField(c).alias(c) for c in columns_but(slim, ["source_size", "target", "taken", "finish"])),
         "source_size",
         "target",
         taken.cast("long").alias("taken"),
@@ -88,7 +87,7 @@ def slim_of(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     return written(docs.select(doc_id, F.col(source).alias("source"), size_of(text).alias("size"), digest_of(doc_id, text).alias("digest")), "sized")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, max_sources: int = MAX_SOURCES) -> DataFrame:
     """The mixed documents: a row per service, with the columns of ``docs``.
 
     Texts are neither shuffled nor joined by document: all that a document's share depends
@@ -96,39 +95,38 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     The text served in part keeps its first words, single-spaced; identical rows that are
     last served share what is left evenly.
     """
-    taken = served(slim_of(docs, text, source, doc_id), weights, budget, repeats)
-    rest = F.col("taken") % F.col("size")
-    whole = F.floor(F.col("taken") / F.col("size"))
+    slim = slim_of(docs, text, source, doc_id)
+    taken = written(served(slim, weights, budget, repeats).select("source", "size", "digest", "taken"), "served")
+    discard(slim)
     some = taken.where(F.col("size") > 0)
-    lasts = some.groupBy("source").agg(F.min(whole).alias("__low"), F.max(F.ceil(F.col("taken") / F.col("size"))).alias("__high"))
-    part = some.join(lasts.select(F.col("source").alias("__s"), "__low", "__high"), F.col("source").eqNullSafe(F.col("__s")))
+    whole = F.floor(F.col("taken") / F.col("size"))
     # documents up to `edge` are served `high` times, later ones `low` times, the one at `cut` in part
-    edge = F.max(F.when((whole == F.col("__high")) & (F.col("__low") < F.col("__high")), F.col("digest")))
-    cut = F.max(F.when(rest > 0, F.col("digest")))
-    found = part.groupBy("source").agg(
-        F.first("__low").alias("__low"),
-        F.first("__high").alias("__high"),
-        edge.alias("__edge"),
-        cut.alias("__cut"),
-    )
-    at_cut = some.join(found.select(F.col("source").alias("__s2"), "__cut"), F.col("source").eqNullSafe(F.col("__s2")) & (F.col("digest") == F.col("__cut")))
-    shares = at_cut.groupBy("source").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("__share")).select(F.col("source").alias("__s3"), "__share")
-    found = found.join(shares, F.col("source").eqNullSafe(F.col("__s3")), "left").select(F.col("source").alias("__s"), "__low", "__high", "__edge", "__cut", "__share")
-    names = docs.columns
-    size = F.col("__size")
-    rows = docs.withColumns({"__digest": digest_of(doc_id, text), "__size": size_of(text)})
-    rows = rows.join(found, F.col(source).eqNullSafe(F.col("__s")))
-    total = (
-        F.when(F.col("__digest") == F.col("__cut"), F.col("__share"))
-        .when(F.col("__digest") <= F.col("__edge"), F.col("__high") * size)
-        .otherwise(F.col("__low") * size)
+    by_times = some.groupBy("source", whole.alias("whole")).agg(
+        F.max("digest").alias("edge"),
+        F.max(F.ceil(F.col("taken") / F.col("size"))).alias("times"),
+        F.max(F.when(F.col("taken") % F.col("size") > 0, F.col("digest"))).alias("cut"),
     )
-    rows = rows.where(size > 0).withColumn("__taken", total).where(F.col("__taken") > 0)
-    times = F.sequence(F.lit(0), F.ceil(F.col("__taken") / size) - 1)
-    rows = rows.withColumn("__k", F.explode(times)).withColumn("__words", F.least(size, F.col("__taken") - F.col("__k") * size))
-    lead = F.array_join(F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("__words").cast("int")), " ")
-    new = F.when(F.col("__words") < size, lead).otherwise(F.col(text))
-    return rows.select(*[(new.alias(c) if c == text else F.col(f"`{c}`")) for c in names])
+    high, low = F.max("times"), F.min("whole")
+    edge = F.when((F.max("whole") == high) & (low < high), F.max_by("edge", "whole"))
+    cuts = by_times.groupBy(F.col("source").alias("s")).agg(low.alias("low"), high.alias("high"), edge.alias("edge"), F.max("cut").alias("cut"))
+    at_cut = some.join(cuts.select("s", "cut"), F.col("source").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("cut")))
+    shares = at_cut.groupBy(F.col("s").alias("s2")).agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("share"))
+    cuts = written(cuts.join(shares, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "cuts")
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col(source).alias("source"), digest_of(doc_id, text).alias("digest"), size_of(text).alias("size"))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if cuts.count() <= max_sources:
+        rows = rows.join(F.broadcast(cuts), same)
+    else:
+        placed = cuts.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
+        rows = rows.join(placed, same & (F.pmod(F.xxhash64("digest"), F.lit(PLACES)) == F.col("p")))
+    size = F.col("size")
+    total = F.when(F.col("digest") == F.col("cut"), F.col("share")).when(F.col("digest") <= F.col("edge"), F.col("high") * size).otherwise(F.col("low") * size)
+    rows = rows.where(size > 0).withColumn("total", total).where("total > 0")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("total") / size) - 1))).withColumn("words", F.least(size, F.col("total") - F.col("k") * size))
+    own = F.col("row").getField(text)
+    lead = F.array_join(F.slice(F.filter(F.split(own, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("words").cast("int")), " ")
+    new = F.when(F.col("words") < size, lead).otherwise(own)
+    return rows.select(*[(new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

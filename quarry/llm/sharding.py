@@ -7,8 +7,12 @@ row count, permutes them. The permuted number p gives shard ``p mod shards`` and
 number alone, as is the way back.
 
 Numbering needs no global sort: equal rows are counted first (map-side), digests are
-dealt into a fixed number of buckets, a bucket's total shifts the next bucket's numbers,
-and equal rows take a range of numbers that is expanded last, spread over all tasks.
+dealt into buckets, as many as the distinct rows ask for, a bucket's total shifts the next
+bucket's numbers, and equal rows take a range of numbers that is expanded last, spread over
+all tasks.
+
+Null values and texts are values like any other. Equal rows are rows of their own with
+neighbouring numbers. Columns named like the new ones are replaced; no other name clashes.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import columns_but, long_field, quoted, table, written
 
-SHARDS, SEED, BUCKETS = 16, 20_240_917, 4096
+SHARDS, SEED = 16, 20_240_917
+#: Buckets at least, and distinct rows a bucket has at most on average.
+BUCKETS, PER_BUCKET = 4096, 100_000
 #: Equal rows are expanded in stretches of this many numbers.
 STRETCH = 4096
 
@@ -77,25 +83,24 @@ def number_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = S
     return int(permute(np.array([slot * shards + shard]), n, seed, back=True)[0])
 
 
-def numbered(rows: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+def numbered(rows: DataFrame, buckets: int = BUCKETS, per_bucket: int = PER_BUCKET) -> tuple[DataFrame, int]:
     """``rows`` with gapless ``row_number`` from 0, and how many there are.
 
-    The order is that of the rows' digest, then of their columns, so it is a function of
-    the rows alone; equal rows take neighbouring numbers. All columns must be orderable.
+    The order is that of the rows' digest bucket, then of their columns, so it is a function
+    of the rows alone; equal rows take neighbouring numbers. All columns must be orderable.
     """
-    names = columns_but(rows, ["row_number"])
-    cols = quoted(names)
-    same = written(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets))), "equal-rows")
-    by_bucket = same.groupBy("__bucket").agg(F.sum("__n").alias("__all"))
-    before = F.coalesce(F.sum("__all").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = by_bucket.select("__bucket", before.alias("__shift"))
-    n = same.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    own = F.coalesce(F.sum("__n").over(Window.partitionBy("__bucket").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = same.withColumn("__own", own).join(shifts, "__bucket").withColumn("__first", F.col("__own") + F.col("__shift"))
-    stretches = F.explode(F.sequence(F.lit(0), F.col("__n") - 1, F.lit(STRETCH))).alias("__from")
-    parts = starts.select(*cols, "__first", "__n", stretches)
-    last = F.least(F.col("__from") + STRETCH, F.col("__n")) - 1
-    return parts.select(*cols, F.explode(F.sequence(F.col("__first") + F.col("__from"), F.col("__first") + last)).alias("row_number")), n
+    whole = F.struct(*quoted(columns_but(rows, ["row_number"]))).alias("row")
+    same = written(rows.select(whole).groupBy("row").agg(F.count(F.lit(1)).alias("n")), "equal-rows")
+    different, n = same.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    same = same.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(max(buckets, -(-different // per_bucket)))))
+    totals = same.groupBy("bucket").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = same.withColumn("own", own).join(totals.select("bucket", before.alias("shift")), "bucket")
+    stretches = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STRETCH))).alias("from")
+    parts = starts.select("row", (F.col("own") + F.col("shift")).alias("first"), "n", stretches)
+    last = F.least(F.col("from") + STRETCH, F.col("n")) - 1
+    return parts.select("row.*", F.explode(F.sequence(F.col("first") + F.col("from"), F.col("first") + last)).alias("row_number")), n
 
 
 def shard(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -17,7 +17,9 @@ blocks, and every pair of blocks is compared by a task of its own, so that the a
 exact. Components of all links are then found by star contraction.
 
 Null and empty texts have fingerprint zero and are linked like any other. A null doc_id
-takes part; a component's id is the smallest doc_id that is not null.
+takes part; a component's id is the smallest doc_id that is not null. Equal fingerprints and
+repeated rows are of one component. Columns of any name survive, but for the text and those named
+like the new ones. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -200,14 +202,13 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, tex
     Exactly repeated rows are one component, so one stays. Texts are moved once, to meet the
     short list of the rows that stay.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
-    slim = hashed.select(F.col(doc_id).alias("__id"), "__hash", text)
-    found = near_duplicates(slim, radius, width, text, "__id", run_cap)
-    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")).alias("__first")
-    stay = found.groupBy("root").agg(first).select(F.col("__first.__id").alias("__s"), F.col("__first.__hash").alias("__h"))
-    rows = hashed.join(stay, F.col(doc_id).eqNullSafe(F.col("__s")) & (F.col("__hash") == F.col("__h")))
-    place = F.row_number().over(Window.partitionBy("__s", "__h").orderBy(F.lit(0)))
-    return rows.withColumn("__place", place).where("__place = 1").select(*quoted(docs.columns))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    found = near_duplicates(rows.select("id", "hash", "text"), radius, width, "text", "id", run_cap)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+    stay = found.groupBy("root").agg(first).select(F.col("first.id").alias("i"), F.col("first.hash").alias("h"))
+    met = rows.drop("text").join(stay, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")))
+    place = F.row_number().over(Window.partitionBy("i", "h").orderBy(F.lit(0)))
+    return met.withColumn("place", place).where("place = 1").select("row.*")
 
 
 def hex_of(column: str = "fp"):

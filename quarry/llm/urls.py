@@ -3,15 +3,21 @@
 Listed entries are canonical ``host + path prefix`` keys. A URL can only be hit by a key
 made of as many last labels of its host and as many first characters of its path as some
 listed key has, so it is asked for those few keys only. The Bloom filter, one block of
-eight 64-bit words a key, drops nearly all of them before anything is moved; what passes
-is joined exactly on the key, and of the entries that fit the longest wins.
+eight 64-bit words a key, drops nearly all of them; a page with no key left gets the default
+verdict where it is read. Only the pages with possible hits move: their keys are joined exactly
+with the listed ones, and of the entries that fit the longest wins.
+
+The list is broadcast if its keys measure ``MAX_LISTED_BYTES`` or less. A longer one is first
+cut to the keys that pages ask for (distinct, so that no key is hot), and then joined with each
+key at ``SALTS_A_KEY`` places, over which the pages of a frequent key are dealt.
 
 The filter's bits grow with the list (``BITS`` a key) up to ``MAX_FILTER_BYTES``; beyond
 that it is fuller and passes more false hits, which the join removes, so results are the
-same. It is built block by block in Spark; Spark picks the join by the size of the list.
+same. It is built block by block in Spark.
 
 Null URLs and those without ``://`` have an empty host and path and are hit by nothing.
-Repeated rows are judged row by row. A key listed both ways is blocked.
+Repeated rows are judged row by row. A key listed both ways is blocked. Columns of any name survive,
+but for those named like the new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from pyspark.sql import types as T
 from quarry.llm.common import columns_but, quoted, table
 
 BITS, BLOCK_BITS, MAX_FILTER_BYTES = 16, 512, 32 << 20
+MAX_LISTED_BYTES, SALTS_A_KEY = 16 << 20, 16
 SALTS = (0x47B6137B, 0x44974D91, 0x08824AD5, 0x22B7B3C3, 0x705495C7, 0x2DF1424B, 0x1EFCA961, 0x5C6BFB31)
 RULES = [
     ("block", "com", "/en/"),
@@ -39,12 +46,11 @@ RULES = [
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
-    """``df`` with the canonical ``host`` and ``path`` of its URLs."""
+def parts_of(url: str = "url") -> tuple:
+    """The canonical host and path of a URL column."""
     text = F.coalesce(F.col(url), F.lit(""))
     host = F.translate(F.regexp_extract(text, r"(?s)\A.*?://([^/?#]*)", 1), _UPPER, _LOWER)
-    path = F.regexp_extract(text, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1)
-    return df.select(*quoted(columns_but(df, ["host", "path"])), host.alias("host"), path.alias("path"))
+    return host.alias("host"), F.regexp_extract(text, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1).alias("path")
 
 
 class BlockedBloom:
@@ -74,11 +80,11 @@ class BlockedBloom:
         return all(int(words[i]) >> ((low * s >> 25) & 63) & 1 for i, s in enumerate(SALTS))
 
 
-def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow", max_bytes: int = MAX_LISTED_BYTES) -> DataFrame:
     """``pages`` with host, path, rule (the longest listed key that fits, or null) and verdict.
 
-    listed: host, path (empty or from its first slash) and verdict. Columns of ``pages``
-    named like the new ones are replaced.
+    listed: host, path (empty or from its first slash) and verdict. An empty table or list
+    gives no hits.
     """
     keys = (
         listed.where(F.col("host").isNotNull() & F.col("verdict").isNotNull())
@@ -88,29 +94,33 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str =
     )
     shapes = sorted((r.labels, r.chars) for r in keys.select("labels", "chars").distinct().collect())
     bloom = BlockedBloom.build(keys.select("rule"), "rule")
-    new = ["host", "path", "rule", "verdict"]
-    rows = with_parts(pages, url)
-    rows = rows.select(*quoted(columns_but(rows, ["rule", "verdict", "__row", "__hits"])), F.monotonically_increasing_id().alias("__row"))
-    at = rows.columns.index("host")
+    own = columns_but(pages, ["host", "path", "rule", "verdict"])
+    rows = pages.select(F.struct(F.lit(0).alias("_"), *quoted(own)).alias("row"), *parts_of(url))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hits = []
-            for host, path in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True):
+            for host, path in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 parts = host.rsplit(".", shapes[-1][0]) if shapes else []
                 asked = {".".join(parts[-n:]) + path[:c] for n, c in shapes if n <= len(parts) and c <= len(path)} if host else ()
                 hits.append([k for k in sorted(asked) if bloom.may_hold(k)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.string()))], names=[*b.schema.names, "__hits"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("__hits", T.ArrayType(T.StringType()))])
-    asked = rows.mapInArrow(run, schema)
-    names = [c for c in rows.columns if c != "__row"]
-    every = asked.select(*quoted(names), "__row", F.explode_outer("__hits").alias("__key"))
-    best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("__key").alias("n"), F.col("__key").alias("rule"), "verdict"))).alias("__best")
-    others = [c for c in names if c not in ("host", "path")]
-    firsts = [F.first(F.col(f"`{c}`")).alias(c) for c in names]
-    joined = every.join(keys.select(F.col("rule").alias("__key"), "verdict"), "__key", "left")
-    return joined.groupBy("__row").agg(*firsts, best).select(*quoted(others), *new[:2], F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.string()))], names=["row", "host", "path", "hits"])
+
+    asked = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("hits", T.ArrayType(T.StringType()))]))
+    before = [F.col("row").getField(c).alias(c) for c in own]
+    clear = asked.where(F.size("hits") == 0).select(*before, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    every = asked.where(F.size("hits") > 0).withColumn("n", F.monotonically_increasing_id()).withColumn("rule", F.explode("hits"))
+    size = keys.agg(F.coalesce(F.sum(F.octet_length("rule") + 64), F.lit(0))).first()[0]
+    keys = keys.select("rule", "verdict")
+    if size <= max_bytes:
+        joined = every.join(F.broadcast(keys), "rule", "left")
+    else:
+        places = F.explode(F.sequence(F.lit(0), F.lit(SALTS_A_KEY - 1))).alias("place")
+        met = keys.join(every.select("rule").distinct(), "rule").select("rule", "verdict", places)
+        joined = every.withColumn("place", F.pmod(F.xxhash64("n"), F.lit(SALTS_A_KEY)).cast("int")).join(met, ["rule", "place"], "left")
+    best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("best")
+    found = joined.groupBy("n").agg(*(F.first(c).alias(c) for c in ("row", "host", "path")), best)
+    return clear.union(found.select(*before, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

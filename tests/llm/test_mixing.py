@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
+from pyspark.sql import functions as F
 from sql_check import same_rows
 
 from quarry.llm import mixing
@@ -61,12 +62,15 @@ def test_edges_and_mix(spark):
     again = mixing.served(mixing.slim_of(docs.repartition(7))).collect()
     key = lambda rs: sorted((r.digest, r.taken) for r in rs)
     assert key(rows) == key(again)
-    mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns
-    got = defaultdict(int)
-    for r in mixed.collect():
-        got[r.source] += len(WORD.findall(r.text))
-    assert all(abs(got[s] - taken[s]) <= 2 for s in taken)
+    clashing = docs.withColumns({"__size": F.col("doc_id") * 2, "s": F.lit("s"), "row": F.lit("r"), "digest": F.lit(5), "K": F.lit(1)})
+    for many in (mixing.MAX_SOURCES, 0):
+        mixed = mixing.mix(clashing, max_sources=many)
+        assert mixed.columns == clashing.columns
+        got = defaultdict(int)
+        for r in mixed.collect():
+            got[r.source] += len(WORD.findall(r.text))
+            assert (r["__size"], r.s, r.row, r.digest, r.K) == (r.doc_id and r.doc_id * 2, "s", "r", 5, 1)
+        assert all(abs(got[s] - taken[s]) <= 2 for s in taken)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.served(mixing.slim_of(docs.limit(0))).count() == 0
     assert mixing.mix(docs.where("doc_id <= 2")).count() == 0
 

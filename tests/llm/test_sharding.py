@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import sharding
 
@@ -40,6 +41,19 @@ def test_whole_table(spark):
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
+def test_numbers_equal_brute_force(spark):
+    rows = [(i % 300 if i % 11 else None, "t" * (i % 7), i % 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a long, __n string, bucket int")
+    for buckets, per_bucket in ((4096, 100_000), (5, 100_000), (1, 40)):
+        found, n = sharding.numbered(df, buckets, per_bucket)
+        got = [tuple(r) for r in found.collect()]
+        used = max(buckets, -(-len(set(rows)) // per_bucket))
+        hashed = df.select("*", F.pmod(F.xxhash64("a", "__n", "bucket"), F.lit(used))).collect()
+        least = lambda r: (r[3], r[0] is not None, r[0] or 0, r[1], r[2])
+        assert n == len(rows) and sorted(x[3] for x in got) == list(range(n))
+        assert [x[:3] for x in sorted(got, key=lambda x: x[3])] == [tuple(r)[:3] for r in sorted(hashed, key=least)]
+
+
 def test_edges(spark):
     rows = [(None, 1, None), (1, 2, "a"), (2, 3, "b" * 1_000_000)] + [(7, 5, "same")] * 10_000
     docs = spark.createDataFrame(rows, "doc_id long, slot int, x string")

@@ -107,3 +107,10 @@ def test_whole_table(spark):
     assert {(r.doc_id, r.fingerprint) for r in rows} == {(d, f"{f:016x}") for d, f in prints.items()}
     assert {(r.doc_id, r.component_id) for r in rows} == set(brute_components(list(prints.items())))
     assert len({r.component_id for r in rows}) < 950
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(i, t, i * 2, i * 3) for i, t in enumerate(["one two", "ONE two", "three four", "three four", None, ""])] + [(2, "three four", 4, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hash long, id long")
+    got = {tuple(r) for r in simhash.one_of_each(docs).collect()}
+    assert got == {(0, "one two", 0, 0), (2, "three four", 4, 6), (4, None, 8, 12)}

@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from sql_check import same_rows
@@ -31,6 +32,11 @@ def test_edges(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, listed).collect()}
     assert got == {i: brute(u) for i, u in enumerate(URLS)}
     assert urls.judge(pages.limit(0), listed).count() == 0
+    clashing = pages.withColumnsRenamed({"verdict": "__key"}).withColumns({"row": F.lit(4), "n": F.lit(5), "hits": F.lit(6), "HOST": F.lit("gone")})
+    for most in (urls.MAX_LISTED_BYTES, 0):
+        found = urls.judge(clashing, listed, max_bytes=most)
+        assert found.columns == ["page_id", "url", "__key", "row", "n", "hits", "host", "path", "rule", "verdict"]
+        assert sorted(((r.page_id, r.url, r["__key"], r.row, r.n, r.hits, (r.host, r.path, r.rule, r.verdict)) for r in found.collect()), key=lambda x: x[0]) == [(i, u, "old", 4, 5, 6, brute(u)) for i, u in enumerate(URLS)]
     assert {r.verdict for r in urls.judge(pages, listed.limit(0)).collect()} == {"allow"}
     both = spark.createDataFrame([("allow", "org", "/es/"), ("block", "org", "/es/"), (None, "net", None)], "verdict string, host string, path string")
     assert {r.verdict for r in urls.judge(pages.where("page_id >= 17"), both).collect()} == {"block"}
