@@ -17,6 +17,17 @@ def high_water(cursor: DataFrame, name: str, table: str) -> int:
     return row[0]
 
 
+def checkpoints(cursor: DataFrame, name: str | None = None) -> DataFrame:
+    """The log's entries, all or those of one run's name, the furthest first."""
+    rows = cursor if name is None else cursor.where(F.col("name") == name)
+    return rows.orderBy("name", "table", F.desc("row"))
+
+
+def checkpoint(cursor: DataFrame, name: str, table: str):
+    """The furthest entry of a run on a table with its comments, None if there is none."""
+    return cursor.where((F.col("name") == name) & (F.col("table") == table)).orderBy(F.desc("row")).first()
+
+
 def high_waters(cursor: DataFrame) -> DataFrame:
     return cursor.groupBy("name", "table").agg(F.max("row").alias("row"))
 
@@ -70,10 +81,10 @@ def stream_new(
 
     def batch(rows: DataFrame, number: int) -> None:
         made = work(rows)
-        try:
-            there = spark.read.schema(made.schema).parquet(target)
-        except Exception:  # no folder yet
-            there = spark.createDataFrame([], made.schema)
+        # only a folder that isn't there counts as empty: any other failure ends the batch, which then runs again
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        there = spark.read.schema(made.schema).parquet(target) if exists else spark.createDataFrame([], made.schema)
         new_rows(made, there, key).write.mode("append").parquet(target)
 
     reader = spark.readStream.schema(schema)

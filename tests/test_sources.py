@@ -1,5 +1,7 @@
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quarry import schemas
@@ -73,6 +75,20 @@ def test_incremental(spark, tmp_path):
         for _ in range(2):
             I.stream_new(spark, source, "id long", target, str(tmp_path / "ck"), lambda r: r.withColumn("twice", F.col("id") * 2), ["id"]).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+    log = I.advanced(spark.createDataFrame([], "name string, `table` string, row long, comments map<string,string>"), "a", "t", 3)
+    log = log.union(I.advanced(log, "a", "t", 7, {"x": "y"})).union(I.advanced(log, "b", "t", 1))
+    assert [(r.name, r.row) for r in I.checkpoints(log).collect()] == [("a", 7), ("a", 3), ("b", 1)]
+    assert I.checkpoint(log, "a", "t").comments == {"x": "y"} and I.checkpoint(log, "c", "t") is None
+
+
+def test_a_target_that_cannot_be_read_ends_the_batch(spark, tmp_path):
+    source, target = str(tmp_path / "in"), tmp_path / "out"
+    target.mkdir()
+    (target / "part-0.parquet").write_text("not parquet")
+    spark.createDataFrame([(1,)], "id long").write.parquet(source)
+    with pytest.raises(StreamingQueryException):
+        I.stream_new(spark, source, "id long", str(target), str(tmp_path / "ck"), lambda r: r, ["id"]).awaitTermination()
+    assert len(list(target.glob("*.parquet"))) == 1
 
 
 TAGS = [("Polystyrene", "POLYMER"), ("(", "O"), ("PS", "POLYMER"), (")", "O"), ("has", "O"), ("Tg", "PROP_NAME"), ("of", "O"), ("100 K", "PROP_VALUE"), (".", "O")]
