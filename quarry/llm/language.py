@@ -2,43 +2,59 @@
 
 A known word scores by its log frequency in each language. An unseen word backs off:
 its 4-grams are tried, then 3-, 2- and 1-grams, and the first length of which some
-n-gram is known scores it by the mean log frequency of the known ones.
+n-gram is known scores it by the mean log frequency of the known ones. Words are runs of
+letters, lower-cased.
 
-The model is fitted on a bounded sample of labelled rows (``max_docs``, split evenly over
-the languages, drawn by a hash of the row, so that it is the same in every run) and keeps
-the ``max_entries`` most frequent words and n-grams of each length per language; only that
-table reaches the driver. Everything else covers all rows and whole texts.
+The model is fitted on a sample of at most ``max_docs`` different labelled texts, shared
+evenly among the languages and drawn by a hash of the text, so that it is the same in every
+run. Repeats of a text count as one, so a language of copies alone is still learned; with
+more than ``max_docs`` languages those whose texts hash lowest are. Nothing else is cut: the
+model has every word and n-gram of the sample, and its size is bounded by the sample alone.
+All rows and whole texts are scored.
+
+Texts of a batch are scored together: each different word is looked up once, and a text's
+score is a sum of rows of one matrix.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text where
 there is nothing to learn from. Ties go to the language first in code point order.
+Repeated rows are scored alike; columns named like the new ones are replaced. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import quoted, string_field, table, with_text_columns
+from quarry.llm.common import quoted, string_field, table, unused, with_text_columns
 
-WORD = re.compile(r"[^\W\d_]+")
+#: What separates words (RE2).
+GAPS = r"\P{L}+"
 NGRAMS = (4, 3, 2, 1)
-#: Unseen words remembered by a task at a time.
+#: Unseen words a task remembers before it forgets them all.
 CACHE = 60_000
 #: Distinct words a counting task holds before it passes them on.
 HELD = 100_000
-#: Least posterior of a text that is in some language.
-MIN_SCORE = 0.3
+#: Characters of text scored at a time.
+CHUNK = 4_000_000
+#: Most back-off steps a word, on average, of a text that is in some language.
+MAX_STEPS = 1.0
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def words_of(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, one after another, and how many each text has."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string())), GAPS)
+    words = parts.flatten()
+    own = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    real = pc.not_equal(words, "")
+    return words.filter(real), np.bincount(own[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -46,31 +62,30 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def has_letter(words: list[str]) -> bool:
-    return any(w[0].isalpha() for w in words) or any(c.isalpha() for w in words for c in w)
-
-
 class Model:
     """Log frequencies: ``index[n]`` maps a word (n = 0) or n-gram to its row of ``rows``, one value per language.
 
     Travels to tasks as joined keys and one matrix, small and quick to read.
     """
 
-    def __init__(self, counts: list[tuple[str, int, str, int]]):
-        """counts: (language, n or 0 for words, key, occurrences)."""
-        self.langs = sorted({c[0] for c in counts})
-        at = {x: i for i, x in enumerate(self.langs)}
-        self.index: dict[int, dict[str, int]] = {n: {} for n in (0, *NGRAMS)}
+    def __init__(self, counts):
+        """counts: (language, n or 0 for words, key, occurrences), each once, as a list of tuples or an Arrow table."""
+        if isinstance(counts, list):
+            columns = list(zip(*counts, strict=True)) if counts else [[]] * 4
+            counts = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "n", "key", "many"])
+        self.langs = sorted(counts.column("lang").unique().to_pylist())
+        lang = pc.index_in(counts.column("lang"), pa.array(self.langs, counts.column("lang").type)).to_numpy()
+        level, many = counts.column("n").to_numpy(), counts.column("many").to_numpy()
+        self.index: dict[int, dict[str, int]] = {}
         parts, first = [], 0
-        for n, found in self.index.items():
-            own = [c for c in counts if c[1] == n]
-            for _, _, key, _ in own:
-                found.setdefault(key, first + len(found))
-            table_ = np.zeros((len(found), max(1, len(self.langs))))
-            for lang, _, key, many in own:
-                table_[found[key] - first, at[lang]] += many
-            parts.append(np.log((table_ + 0.5) / (table_.sum(axis=0) + 0.5 * len(found))) if found else table_)
-            first += len(found)
+        for n in (0, *NGRAMS):
+            at = np.flatnonzero(level == n)
+            keys = counts.column("key").take(pa.array(at)).combine_chunks().dictionary_encode()
+            table_ = np.zeros((len(keys.dictionary), max(1, len(self.langs))))
+            table_[keys.indices.to_numpy(), lang[at]] = many[at]
+            self.index[n] = {k: first + i for i, k in enumerate(keys.dictionary.to_pylist())}
+            parts.append(np.log((table_ + 0.5) / (table_.sum(axis=0) + 0.5 * len(table_))) if len(table_) else table_)
+            first += len(table_)
         self.rows = np.concatenate(parts).astype(np.float32)
 
     def __getstate__(self) -> dict:
@@ -82,54 +97,114 @@ class Model:
             self.index[n] = {k: first + i for i, k in enumerate(keys.split("\n") if keys else ())}
             first += len(self.index[n])
 
-    def unseen(self, word: str) -> np.ndarray:
-        for n in NGRAMS:
-            found = self.index[n]
-            known = [r for g in grams_of(word, n) if (r := found.get(g)) is not None]
-            if known:
-                return self.rows[known].mean(axis=0)
-        return np.zeros(self.rows.shape[1], np.float32)
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Rows of unseen words, with the steps that each was backed off as a last column."""
+        flat: list[int] = []
+        sizes, steps = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for i, word in enumerate(words):
+            for step, n in enumerate(NGRAMS, 1):
+                get = self.index[n].get
+                known = [r for g in grams_of(word, n) if (r := get(g)) is not None]
+                if known:
+                    break
+            else:
+                step += 1
+            flat += known
+            sizes[i], steps[i] = len(known), step
+        out = np.zeros((len(words), self.rows.shape[1] + 1), np.float32)
+        out[:, -1] = steps
+        full = np.flatnonzero(sizes)
+        if len(full):
+            out[full, :-1] = np.add.reduceat(self.rows[flat].astype(np.float64), (np.cumsum(sizes) - sizes)[full], axis=0) / sizes[full, None]
+        return out
 
 
 class Scorer(dict):
-    """Word to row of ``rows``; rows of unseen words are made on demand and now and then forgotten."""
+    """Word to row of ``rows``; rows of unseen words are made on demand and now and then forgotten.
+
+    The last column of ``rows`` is the number of back-off steps.
+    """
 
     def __init__(self, model: Model):
         known = model.index[0]
         super().__init__(known)
         self.model, self.fixed = model, len(known)
-        self.rows = np.zeros((len(known) + CACHE, max(1, len(model.langs))), np.float32)
-        self.rows[: len(known)] = model.rows[: len(known)]
-
-    def __missing__(self, word: str) -> int:
-        self[word] = i = len(self)
-        self.rows[i] = self.model.unseen(word)
-        return i
+        self.rows = np.zeros((len(known) + CACHE, max(1, len(model.langs)) + 1), np.float32)
+        self.rows[: len(known), :-1] = model.rows[: len(known)]
+
+    def learn(self, words: list[str]) -> None:
+        first = len(self)
+        self.update(zip(words, range(first, first + len(words))))
+        if len(self) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((len(self) - len(self.rows), self.rows.shape[1]), np.float32)])
+        self.rows[first : len(self)] = self.model.unseen(words)
+
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the rows of each text's words, and how many words it has."""
+        words, sizes = words_of(texts)
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        if len(self) > self.fixed + CACHE:
+            for w in list(self)[self.fixed :]:
+                del self[w]
+        self.learn([w for w in known if w not in self])
+        at = np.fromiter(map(self.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+        out, ends = np.zeros((len(texts), self.rows.shape[1])), np.cumsum(sizes)
+        full = np.flatnonzero(sizes)
+        for lo in range(0, len(full), 512):
+            part = full[lo : lo + 512]
+            first, last = ends[part[0]] - sizes[part[0]], ends[part[-1]]
+            out[part] = np.add.reduceat(self.rows[at[first:last]].astype(np.float64), ends[part] - sizes[part] - first, axis=0)
+        return out, sizes
+
+    def judged(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, posterior, and back-off steps a word, of each text."""
+        out: list[tuple[str, float, float]] = []
+        lo = 0
+        while lo < len(texts):
+            hi, held = lo, 0
+            while hi < len(texts) and (hi == lo or held + len(texts[hi] or "") <= CHUNK):
+                held += len(texts[hi] or "")
+                hi += 1
+            total, sizes = self.totals(texts[lo:hi])
+            for row, n in zip(total, sizes.tolist(), strict=True):
+                if not n or not self.model.langs:
+                    out.append(("und", 0.0, 0.0))
+                    continue
+                best = int(row[:-1].argmax())
+                out.append((self.model.langs[best], float(1 / np.exp(row[:-1] - row[best]).sum()), float(row[-1] / n)))
+            lo = hi
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not self.model.langs or not has_letter(words):
-            return "und", 0.0
-        total = np.zeros(len(self.model.langs))
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            if len(self) + len(part) > len(self.rows) and len(self) > self.fixed:
-                for w in list(self)[self.fixed :]:
-                    del self[w]
-            total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
-
-
-def fit(docs: DataFrame, max_docs: int = 20_000, max_entries: int = 20_000, text: str = "text", lang: str = "lang") -> Model:
-    """A model from rows with a text and a language, sampled if over ``max_docs``."""
-    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return Model([])
-    share = max_docs / len(sizes)
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(share / n)) for k, n in sorted(sizes.items()) if n > share], F.lit(1.0))
-    sample = labelled.where(F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) < rate * (1 << 30))
+        return self.judged([text])[0][:2]
+
+
+def sampled(docs: DataFrame, max_docs: int, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(text, lang): at most ``max_docs`` different labelled texts with a letter, evenly from all languages.
+
+    Only hashes are ranked, and each task passes on no more than a language's share of them;
+    the picked hashes, ``max_docs`` at most, are broadcast to fetch their texts.
+    """
+    labelled = docs.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("h"))
+    share = max(1, max_docs // max(1, labelled.select("lang").distinct().count()))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = labelled.select("lang", "h").distinct().withColumn("place", order).where(F.col("place") <= share)
+    picked = picked.orderBy("place", "h", "lang").limit(max_docs).select("lang", "h")
+    once = labelled.join(F.broadcast(picked), ["lang", "h"], "left_semi")
+
+    def first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b in batches:
+            keys = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+            yield b.take(pa.array(fresh, pa.int64()))
+
+    return once.mapInArrow(first_of_task, once.schema).dropDuplicates(["lang", "h"]).select("text", "lang")
+
+
+def fit(docs: DataFrame, max_docs: int = 20_000, text: str = "text", lang: str = "lang") -> Model:
+    """A model from rows with a text and a language, of which at most ``max_docs`` different texts are read."""
 
     def emitted(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         """Words, then the n-grams of one length at a time."""
@@ -151,45 +226,49 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_entries: int = 20_000, text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        for b in batches:
-            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(k, Counter()).update(words_of(t))
+        for big in batches:
+            for lo in range(0, big.num_rows, 256):
+                texts, langs = (c.to_pylist() for c in big.slice(lo, 256).columns)
+                for k in set(langs):
+                    words, _ = words_of([t for t, x in zip(texts, langs, strict=True) if x == k])
+                    found = words.value_counts()
+                    mine = seen.setdefault(k, Counter())
+                    for w, many in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                        mine[w] += many
                 if sum(map(len, seen.values())) > HELD:
                     yield from emitted(seen)
                     seen = {}
         yield from emitted(seen)
 
-    top = Window.partitionBy("lang", "n").orderBy(F.desc("many"), "key")
-    kept = (
-        sample.mapInArrow(count, "lang string, n int, key string, many long")
-        .groupBy("lang", "n", "key")
-        .agg(F.sum("many").alias("many"))
-        .where("many > 1")
-        .withColumn("place", F.row_number().over(top))
-        .where(F.col("place") <= max_entries)
-        .select("lang", "n", "key", "many")
-    )
-    found = kept.toArrow().to_pydict()
-    return Model(sorted(zip(found["lang"], found["n"], found["key"], found["many"], strict=True)))
+    counts = sampled(docs, max_docs, text, lang).mapInArrow(count, "lang string, n int, key string, many long")
+    return Model(counts.groupBy("lang", "n", "key").agg(F.sum("many").alias("many")).toArrow())
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior of the best language."""
-
+def _judge(docs: DataFrame, model: Model, text: str, names: tuple[str, str, str]) -> DataFrame:
     def maker():
         scorer = Scorer(model)
-        return lambda texts: [list(c) for c in zip(*map(scorer.predict, texts), strict=True)]
+        return lambda texts: [list(c) for c in zip(*scorer.judged(texts), strict=True)]
+
+    return with_text_columns(docs, [string_field(names[0]), *(T.StructField(n, T.DoubleType()) for n in names[1:])], maker, text, binary=False)
+
 
-    return with_text_columns(docs, [string_field(names[0]), T.StructField(names[1], T.DoubleType())], maker, text, binary=False)
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, the posterior of the best language."""
+    steps = unused([*docs.columns, *names], "steps")
+    return _judge(docs, model, text, (*names, steps)).drop(steps)
 
 
-def recognised(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, text: str = "text") -> DataFrame:
+def recognised(docs: DataFrame, model: Model, max_steps: float = MAX_STEPS, text: str = "text") -> DataFrame:
     """The rows whose text is in some language of the model, with the columns of ``docs``.
 
-    Texts without a letter, and texts no language of which reaches ``min_score``, go.
+    Texts without a letter go, and those whose words back off by more than ``max_steps`` on
+    average: words of a learned language are known or made of its 4-grams, whereas those of
+    another language or script, and noise, are met by short n-grams only.
     """
-    found = predict(docs, model, text, ("__pred", "__score"))
-    return found.where((F.col("__pred") != "und") & (F.col("__score") >= min_score)).select(*quoted(docs.columns))
+    lang = unused(docs.columns, "lang_pred")
+    names = (lang, unused(docs.columns, "score"), unused(docs.columns, "steps"))
+    found = _judge(docs, model, text, names)
+    return found.where((F.col(lang) != "und") & (F.col(names[2]) <= max_steps)).select(*quoted(docs.columns))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
