@@ -2,8 +2,10 @@
 
 Each round re-links every node's neighbours to the least of them, first the larger ones
 (large-star), then all but the larger (small-star), until nothing changes: a forest of
-stars. Links stay in Spark; every round is cut off by a table in the shared folder. A hub
-with very many neighbours needs no group in one task, as only minima are taken of groups.
+stars. Links stay in Spark; every round is cut off by a table in the shared folder, which is
+removed when the next one is there. Of a hub's neighbours no list is made: groups only give
+minima, combined before the shuffle, and the joins with these stream; where a hub's rows fill
+a partition, Spark's adaptive skew join splits it.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import discard, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +41,8 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     now = written(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     for _ in range(max_rounds):
-        now = written(_star(_star(now, True), False), "links")
+        last, now = now, written(_star(_star(now, True), False), "links")
+        discard(last)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40)))).first()
         if tuple(seen) == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
