@@ -7,11 +7,23 @@ gap that holds it, documents that want the same gap are served by rank, gaps are
 and documents without a gap open sequences, longest first.
 
 Both sides of a sweep are sorted by a whole number that is at most the capacity, so the
-sorted order is held run by run: (length, how many) and (gap, which sequences). A run is
-matched as one, whatever it holds, and a sweep reads at most ``capacity`` runs a side,
-independent of the corpus. Counting the runs, ranking every piece within its run and
-turning (length, rank) into (sequence, offset) are distributed; the driver sees counts
-by length only.
+sorted order is held run by run: (length, first rank, how many) and (gap, first sequence,
+how many). A round is one Spark job over these runs, read from and written to the shared
+folder. They are dealt by ranges of size; in every range a task sweeps documents, longest
+first, to the smallest gap that holds them, and of a run of documents that want one run of
+gaps the lowest ranks get the first gaps. What found no gap in its range meets the gaps left
+in the ranges above it at the next levels of the same job, four ranges together, until all
+are one. Gaps that a round makes wait for the next round. The driver sees three totals of a
+round: documents left, their smallest length and the largest gap; it opens sequences when
+nothing fits any more.
+
+A sweep reads at most ``capacity`` lengths, independent of the corpus. Counting the runs,
+ranking every piece within its run and turning (length, rank) into (sequence, offset) are
+done in stretches of ranks, so that a length that very many pieces share fills no task.
+
+Null texts are empty; an empty text is one piece, the closing id. Repeated rows and pieces
+of one length are pieces of their own. Columns of any name survive but for the text and those
+named like the new ones. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,9 +40,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import columns_but, long_field, quoted, table, written
+from quarry.llm.common import columns_but, discard, long_field, quoted, table, written
 
 CAPACITY, EOS = 1024, 2
+#: Ranges of sizes at the first level of a sweep, and how many of them meet at the next.
+RANGES, TOGETHER = 16, 4
+#: Ranks of a length that are joined with their steps together.
+STRETCH = 1 << 18
 #: Words whose ids a task remembers.
 CACHE = 400_000
 
@@ -114,14 +130,15 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, eos: int = EOS, path: s
     return docs.select(*quoted(keep), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def sweep(docs: list[list[int]], gaps: dict[int, list[tuple[int, int]]], capacity: int, plan: list[tuple]) -> None:
-    """One round: each run of documents, longest first, goes to the smallest gaps that hold it.
+def sweep(docs: list[list[int]], gaps: dict[int, list[tuple[int, int]]], capacity: int) -> tuple[list[tuple], list[tuple]]:
+    """Each run of documents, longest first, goes to the smallest gaps that hold it.
 
-    docs: [length, first rank, how many]; gaps: size to (first sequence, how many). Equal
-    documents that fit a gap together are placed together. Gaps made in this round wait
-    for the next one. plan gets (length, rank, many, per sequence, sequence, offset).
+    docs: [length, first rank, how many]; gaps: size to (first sequence, how many); both are
+    changed to what is left. Equal documents that fit a gap together are placed together.
+    Gives (length, rank, many, per sequence, sequence, offset) and the gaps made, as
+    (size, first sequence, how many), that wait for the next round.
     """
-    made: dict[int, list[tuple[int, int]]] = {}
+    steps, made = [], []
     sizes = sorted(gaps)
     for run in docs:
         length = run[0]
@@ -132,69 +149,110 @@ def sweep(docs: list[list[int]], gaps: dict[int, list[tuple[int, int]]], capacit
                 first, many = gaps[gap].pop()
                 each = min(gap // length, run[2])
                 used = min(many, run[2] // each)
-                plan.append((length, run[1], used * each, each, first, capacity - gap))
+                steps.append((length, run[1], used * each, each, first, capacity - gap))
                 run[1] += used * each
                 run[2] -= used * each
                 if used < many:
                     gaps[gap].append((first + used, many - used))
                 if gap > each * length:
-                    made.setdefault(gap - each * length, []).append((first, used))
+                    made.append((gap - each * length, first, used))
             if not gaps[gap]:
                 del gaps[gap]
                 sizes.pop(at)
-    for gap, found in made.items():
-        gaps.setdefault(gap, []).extend(found)
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
-    """Rounds of sweeps over counts by length: the plan and the number of sequences."""
-    docs = [[n, 0, c] for n, c in sorted(counts.items(), reverse=True) if c]
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    plan: list[tuple] = []
-    opened = 0
-    while docs:
-        before = sum(d[2] for d in docs)
-        sweep(docs, gaps, capacity, plan)
-        docs = [d for d in docs if d[2]]
-        if docs and sum(d[2] for d in docs) == before:
-            left = -(-sum(d[0] * d[2] for d in docs) // capacity)
-            alone = sum(d[2] for d in docs if 2 * d[0] > capacity)
-            fresh = alone or left
-            gaps.setdefault(capacity, []).append((opened, fresh))
+    return steps, made
+
+
+#: Rows of a round: documents left, gaps left, steps, gaps made.
+DOCS, GAPS, STEPS, MADE = range(4)
+_STATE = ("size", "first", "many", "each", "sequence", "place")
+_SCHEMA = ", ".join(["kind int", *(f"{c} long" for c in _STATE)])
+
+
+def _sweep_range(capacity: int):
+    """The sweep of one range: its rows of a round to what is left and made of them."""
+
+    def run(found: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(found.column(c).to_pylist() for c in ("kind", *_STATE)), strict=True))
+        docs = [list(r[1:4]) for r in reversed(rows) if r[0] == DOCS]
+        gaps: dict[int, list[tuple[int, int]]] = {}
+        for r in rows:
+            if r[0] == GAPS:
+                gaps.setdefault(r[1], []).append((r[2], r[3]))
+        steps, made = sweep(docs, gaps, capacity)
+        out = [r for r in rows if r[0] in (STEPS, MADE)] + [(STEPS, *x) for x in steps] + [(MADE, *x, 0, 0, 0) for x in made]
+        out += [(DOCS, *d, 0, 0, 0) for d in docs if d[2]] + [(GAPS, size, *x, 0, 0, 0) for size, left in gaps.items() for x in left]
+        columns = list(zip(*out, strict=True))
+        return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["kind", *_STATE])
+
+    return run
+
+
+def best_fit(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Steps (length, first, many, each, sequence, place) that place all pieces, from (length, n)."""
+    spark = counts.sparkSession
+    zeros = [F.lit(0).cast("long").alias(c) for c in _STATE[3:]]
+    kind = lambda k: F.lit(k).alias("kind")
+    # pieces of over half a sequence open one each: a row a length, so this window is small
+    alone = counts.where(2 * F.col("length") > capacity)
+    before = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    alone = alone.withColumn("opens", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    none = F.lit(0).cast("long")
+    start = (
+        counts.where(2 * F.col("length") <= capacity)
+        .select(kind(DOCS), F.col("length").alias("size"), none.alias("first"), F.col("n").alias("many"), *zeros)
+        .union(alone.select(kind(STEPS), "length", none, "n", F.lit(1).cast("long"), "opens", none))
+        .union(alone.where(F.col("length") < capacity).select(kind(GAPS), capacity - F.col("length"), "opens", "n", *zeros))
+    )
+    rounds = [written(start, "round")]
+    opened = rounds[0].where(F.col("kind") == STEPS).agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    while True:
+        now = rounds[-1].where(F.col("kind") != STEPS)
+        is_doc = F.col("kind") == DOCS
+        total, least, widest = now.agg(
+            F.coalesce(F.sum(F.when(is_doc, F.col("size") * F.col("many"))), F.lit(0)), F.min(F.when(is_doc, F.col("size"))), F.coalesce(F.max(F.when(~is_doc, F.col("size"))), F.lit(0))
+        ).first()
+        if not total:
+            break
+        now = now.withColumn("kind", F.when(F.col("kind") == MADE, F.lit(GAPS)).otherwise(F.col("kind")))
+        if widest < least:
+            fresh = -(-total // capacity)
+            now = now.union(spark.range(1).select(kind(GAPS), F.lit(capacity).cast("long"), F.lit(opened).cast("long"), F.lit(fresh).cast("long"), *zeros))
             opened += fresh
-            if alone:
-                sweep([d for d in docs if 2 * d[0] > capacity], gaps, capacity, plan)
-                docs = [d for d in docs if d[2]]
-    used = max((p[4] + -(-p[2] // p[3]) for p in plan), default=0)
-    return plan, used
+        ranges = RANGES
+        while True:
+            place = F.floor((F.col("size") - 1) * ranges / capacity).cast("int")
+            now = now.withColumn("range", place).repartition(ranges, "range").groupBy("range").applyInArrow(_sweep_range(capacity), _SCHEMA)
+            if ranges == 1:
+                break
+            ranges = max(1, ranges // TOGETHER)
+        rounds.append(written(now, "round"))
+    steps = rounds[0].where(F.col("kind") == STEPS)
+    for r in rounds[1:]:
+        steps = steps.union(r.where(F.col("kind") == STEPS))
+    made = written(steps.select(F.col("size").alias("length"), *_STATE[1:]).coalesce(8), "steps")
+    discard(*rounds)
+    return made
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with ``length`` from 1 to capacity) with ``sequence_id`` and ``offset``.
-
-    Repeated rows are separate pieces. Columns of those names are replaced. An empty
-    table gives an empty one.
-    """
-    spark = pieces.sparkSession
-    kept = written(pieces.select(*quoted(columns_but(pieces, ["sequence_id", "offset", "__file", "__row", "__n", "__rank"]))), "pieces")
-    names = kept.columns
-    rows = kept.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    by_file = rows.groupBy("length", "__file").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("length").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_file.select("length", "__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    counts = {r.length: r.n for r in by_file.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    plan, _ = best_fit(counts, capacity)
-    fields = ("__length", "__from", "__many", "__each", "__sequence", "__place")
-    steps = spark.createDataFrame(plan, T.StructType([long_field(f) for f in fields]))
-    place = Window.partitionBy("length", "__file").orderBy("__row")
-    ranked = rows.withColumn("__own", F.row_number().over(place) - 1).join(offsets, ["length", "__file"]).withColumn("__rank", F.col("__own") + F.col("__before"))
-    at = F.col("__rank") - F.col("__from")
-    return ranked.join(
-        steps, (F.col("length") == F.col("__length")) & (at >= 0) & (at < F.col("__many"))
-    ).select(
-        *quoted(names),
-        (F.col("__sequence") + F.floor(at / F.col("__each"))).cast("long").alias("sequence_id"),
-        (F.col("__place") + at % F.col("__each") * F.col("length")).cast("long").alias("offset"),
+    """``pieces`` (with ``length`` from 1 to capacity) with ``sequence_id`` and ``offset``."""
+    own = columns_but(pieces, ["sequence_id", "offset"])
+    kept = written(pieces.select(F.struct(*quoted(own)).alias("row"), F.col("length").cast("long").alias("length")), "pieces")
+    rows = kept.select("row", "length", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    by_file = written(rows.groupBy("length", "file").agg(F.count(F.lit(1)).alias("n")), "counts")
+    before = Window.partitionBy("length").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by_file.select("length", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    steps = best_fit(by_file.groupBy("length").agg(F.sum("n").alias("n")), capacity)
+    place = Window.partitionBy("length", "file").orderBy("at")
+    ranked = rows.withColumn("own", F.row_number().over(place) - 1).join(offsets, ["length", "file"]).select("row", "length", (F.col("own") + F.col("before")).alias("rank"))
+    ranked = ranked.withColumn("stretch", F.floor(F.col("rank") / STRETCH))
+    stretches = F.sequence(F.floor(F.col("first") / STRETCH), F.floor((F.col("first") + F.col("many") - 1) / STRETCH))
+    found = ranked.join(steps.withColumn("stretch", F.explode(stretches)), ["length", "stretch"])
+    at = F.col("rank") - F.col("first")
+    return found.where((at >= 0) & (at < F.col("many"))).select(
+        *(F.col("row").getField(c).alias(c) for c in own),
+        (F.col("sequence") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"),
+        (F.col("place") + at % F.col("each") * F.col("length")).cast("long").alias("offset"),
     )
 
 
