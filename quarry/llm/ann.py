@@ -4,7 +4,9 @@ Every table has ``hashes`` Gaussian (2-stable) projections, each cut into cells
 width; a vector's cells name its bucket. A query visits buckets in the order in which
 they are likely to hold its neighbours: by the sum, over the projections, of the squared
 distance from the query to the bucket's cell. It visits ``probes`` buckets a table, and
-goes on until they hold ``least`` vectors. All candidates of all tables are scored
+goes on until they hold ``least`` vectors. Where ``probes`` is not given it is fitted: for
+``ASKED`` vectors, drawn by a hash of their ids, the true neighbours among all candidates are
+found by an exact scan, and as many buckets are visited as catch ``RECALL`` of these. All candidates of all tables are scored
 exactly, and the best are merged.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) for candidates
@@ -39,7 +41,9 @@ from quarry.llm.common import table, written
 from quarry.llm.topk import usable
 
 K, EVERY = 20, 20
-TABLES, HASHES, WIDTH, PROBES, LEAST, SEED = 2, 4, 1.5, 48, 2000, 7
+TABLES, HASHES, WIDTH, LEAST, SEED = 2, 4, 1.5, 2000, 7
+#: Vectors asked to fit the number of probes, and the share of their neighbours to be met.
+ASKED, RECALL = 128, 0.95
 BLOCKS, MAX_BLOCK = 16, 32_768
 LOW, HIGH = -3, 2
 
@@ -80,14 +84,20 @@ def cells_of(codes: np.ndarray, hashes: int) -> np.ndarray:
     return codes[:, None] // side ** np.arange(hashes - 1, -1, -1) % side + LOW
 
 
-def visits(place: np.ndarray, cells: np.ndarray, sizes: np.ndarray, probes: int, least: int) -> np.ndarray:
-    """Which buckets each query visits: the first by success estimate, until both bounds are met."""
+def success(place: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Squared distances of queries (rows) to buckets (columns): the smaller, the likelier a hit."""
     low = np.where(cells == LOW, -np.inf, cells)
     high = np.where(cells == HIGH, np.inf, cells + 1)
     away = np.zeros((len(place), len(cells)))
     for j in range(cells.shape[1]):
         p = place[:, j : j + 1]
         away += np.maximum(0, np.maximum(low[:, j] - p, p - high[:, j])) ** 2
+    return away
+
+
+def visits(place: np.ndarray, cells: np.ndarray, sizes: np.ndarray, probes: int, least: int) -> np.ndarray:
+    """Which buckets each query visits: the first by success estimate, until both bounds are met."""
+    away = success(place, cells)
     order = np.argsort(away, axis=1, kind="stable")
     held = np.cumsum(sizes[order], axis=1)
     wanted = (np.arange(len(cells)) < probes) | (held - sizes[order] < least)
@@ -165,6 +175,41 @@ def exact(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return total
 
 
+def fit_probes(candidates: DataFrame, made: Hashes, known: list[np.ndarray], k: int = K, asked: int = ASKED, recall: float = RECALL) -> int:
+    """Buckets a table that must be visited to meet ``recall`` of the neighbours of ``asked`` vectors.
+
+    candidates: (id, vector); known: the bucket numbers of each table. Every task keeps its best k
+    for each vector asked, and the driver sees the k best of these alone.
+    """
+    dim, kind = len(made.axes) - 1, candidates.schema["id"].dataType.simpleString()
+    some = candidates.orderBy(F.xxhash64("id"), "id").limit(asked).collect()
+    ids = np.array([r.id for r in some])
+    vectors = np.array([[*map(float, r.vector), *[0.0] * (dim - len(r.vector))] for r in some])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            dense, own = dense_of(b.column(1), dim), b.column(0).to_numpy()
+            scores = vectors @ dense.T
+            scores[ids[:, None] == own] = -np.inf
+            at = np.argpartition(-scores, min(k, len(own)) - 1, axis=1)[:, :k]
+            codes = made.codes(dense)[at.ravel()]
+            cols = [np.repeat(np.arange(len(ids)), at.shape[1]), own[at.ravel()], np.take_along_axis(scores, at, 1).ravel()]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(list(codes), pa.list_(pa.int64()))], names=["q", "id", "score", "codes"])
+
+    found = candidates.select("id", "vector").mapInArrow(scan, f"q long, id {kind}, score double, codes array<long>").where(F.col("score") > float("-inf"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    met = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "codes").collect()
+    place, needed = made.place(vectors, True), np.full(len(met), np.iinfo(np.int64).max)
+    for t, codes in enumerate(known):
+        away = success(place[:, t * made.hashes : (t + 1) * made.hashes], cells_of(codes, made.hashes))
+        rank = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1)
+        at = np.searchsorted(codes, [r.codes[t] for r in met])
+        needed = np.minimum(needed, rank[[r.q for r in met], at] + 1)
+    return int(np.quantile(needed, recall, method="higher")) if len(met) else 1
+
+
 def _met(dim: int, k: int):
     """(block, side, id, buckets, vector), candidates (side 0) before queries, to each query's best of each block."""
 
@@ -231,7 +276,7 @@ def search(
     tables: int = TABLES,
     hashes: int = HASHES,
     width: float = WIDTH,
-    probes: int = PROBES,
+    probes: int | None = None,
     least: int = LEAST,
     blocks: int = BLOCKS,
     max_block: int = MAX_BLOCK,
@@ -265,6 +310,8 @@ def search(
         own = sorted((code, n) for x, code, n in counts if x == t)
         codes = np.array([x for x, _ in own], np.int64)
         lists.append((codes, cells_of(codes, hashes), np.array([n for _, n in own]), np.array([blocks_by[t, x] for x, _ in own]).reshape(-1, 2)))
+    if probes is None:
+        probes = fit_probes(c, made, [known for known, _, _, _ in lists], k)
     schema = f"block int, side int, id long, buckets array<int>, vector {c.schema['vector'].dataType.simpleString()}"
     wide = 6**hashes
 

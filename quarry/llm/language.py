@@ -119,36 +119,43 @@ class Model:
         return out
 
 
-class Scorer(dict):
-    """Word to row of ``rows``; rows of unseen words are made on demand and now and then forgotten.
+class Scorer:
+    """Sums of rows by text; rows of unseen words are made on demand and now and then forgotten.
 
     The last column of ``rows`` is the number of back-off steps.
     """
 
     def __init__(self, model: Model):
-        known = model.index[0]
-        super().__init__(known)
-        self.model, self.fixed = model, len(known)
-        self.rows = np.zeros((len(known) + CACHE, max(1, len(model.langs)) + 1), np.float32)
-        self.rows[: len(known), :-1] = model.rows[: len(known)]
+        self.model, self.known, self.fixed = model, model.index[0], len(model.index[0])
+        self.fresh: dict[str, int] = {}
+        self.rows = np.zeros((self.fixed + CACHE, max(1, len(model.langs)) + 1), np.float32)
+        self.rows[: self.fixed, :-1] = model.rows[: self.fixed]
 
     def learn(self, words: list[str]) -> None:
-        first = len(self)
-        self.update(zip(words, range(first, first + len(words))))
-        if len(self) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((len(self) - len(self.rows), self.rows.shape[1]), np.float32)])
-        self.rows[first : len(self)] = self.model.unseen(words)
+        first = self.fixed + len(self.fresh)
+        last = first + len(words)
+        self.fresh.update(zip(words, range(first, last), strict=True))
+        if last > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((last - len(self.rows), self.rows.shape[1]), np.float32)])
+        self.rows[first:last] = self.model.unseen(words)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The rows of different words."""
+        if len(self.fresh) > CACHE:
+            self.fresh.clear()
+            self.rows = self.rows[: self.fixed + CACHE]
+        at = list(map(self.known.get, words))
+        unseen = [i for i, x in enumerate(at) if x is None]
+        self.learn([words[i] for i in unseen if words[i] not in self.fresh])
+        for i in unseen:
+            at[i] = self.fresh[words[i]]
+        return np.array(at, np.int64)
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of the rows of each text's words, and how many words it has."""
         words, sizes = words_of(texts)
         coded = words.dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        if len(self) > self.fixed + CACHE:
-            for w in list(self)[self.fixed :]:
-                del self[w]
-        self.learn([w for w in known if w not in self])
-        at = np.fromiter(map(self.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+        at = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         out, ends = np.zeros((len(texts), self.rows.shape[1])), np.cumsum(sizes)
         full = np.flatnonzero(sizes)
         for lo in range(0, len(full), 512):

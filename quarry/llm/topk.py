@@ -12,8 +12,11 @@ the memory a task needs is fixed by the two block sizes.
 
 Weights are floor(scale * x) in double. Vectors null or with a null or non-finite
 component take no part. A term missing at one side (vectors of other lengths) adds zero.
-A score outside 64 bits is clamped to them. Repeated ids are rows of their own; a query
-never meets rows of its own id.
+A score outside 64 bits is clamped to them. Repeated (id, vector) rows count once, as
+candidates and as queries; rows of one id with different vectors are candidates of their own,
+and of a query id with several vectors the best of all its (vec_id, score) pairs are kept, each
+once. A query never meets rows of its own id. Ties go to the smaller id. Empty tables give empty
+results; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import table, written
 
 K, EVERY, SCALE = 10, 100, 1024
-BLOCK, QUERY_BLOCK = 8192, 256
+BLOCK, QUERY_BLOCK = 8192, 4096
 
 
 def usable(vector: str) -> Column:
@@ -104,7 +107,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, scale: float =
 
     candidates, queries: (id long, vector array<double>), of which unusable rows take no part.
     """
-    c, q = (x.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull()) for x in (candidates, queries))
+    c, q = (x.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull()).distinct() for x in (candidates, queries))
+    c, q = written(c, "candidates"), written(q, "queries")
     n, m = c.count(), q.count()
     nb, mb = max(1, -(-n // block)), max(1, -(-m // query_block))
     left = _packed(c, "cb", nb).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(mb - 1))))
@@ -129,7 +133,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, scale: float =
                 cols = [np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in out]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -143,10 +147,10 @@ ORACLES = {
     "op10_topk": """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  FROM (SELECT DISTINCT vec_id, embedding FROM embeddings)
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM good q JOIN good c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10

@@ -2,6 +2,7 @@ import functools
 import math
 
 import numpy as np
+import pytest
 
 from quarry.llm import ann
 
@@ -58,6 +59,21 @@ def test_recall_with_many_buckets_and_norms(spark):
     assert recall(got, brute(rows, 100, 10)) >= 0.9
 
 
+@pytest.mark.parametrize("dim, even", [(24, False), (64, False), (64, True)])
+def test_default_recall_beyond_the_least(spark, dim, even):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, dim))
+    x = x / np.linalg.norm(x, axis=1)[:, None] if even else x * rng.uniform(0.3, 2, size=(len(x), 1))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<double>")
+    got = ann.search(df, df.where("id % 200 = 0")).collect()
+    want = {}
+    for q in range(0, len(x), 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want[q] = [(-s[i], int(i)) for i in np.argsort(-s)[:20]]
+    assert recall(got, want) >= 0.9
+
+
 def test_edges(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(150)]

@@ -24,6 +24,19 @@ def test_sql(spark):
     same_rows(spark, topk.op10_topk, topk.ORACLES["op10_topk"], "/root/testdata/sf0.01")
 
 
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:20] * 15 + [(20, [9.0] * 5)], "id long, vector array<double>")
+    got = topk.search(df, df.where("id in (0, 10, 20)"), block=16, query_block=4).collect()
+    want = brute(rows + [(20, [9.0] * 5)], 10, 10)
+    assert sorted(tuple(r) for r in got if r.query_id in (0, 10)) == [w for w in want if w[0] in (0, 10)]
+    asked, best = [rows[20][1], [9.0] * 5], set()
+    for v in asked:
+        best |= {(-sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(v, w)), i) for i, w in rows if i != 20}
+    assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == 20) == [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(best)[:10])]
+
+
 def test_edges(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(2)]) for i in range(200)]
