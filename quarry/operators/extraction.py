@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.numbers import plain_value
+from quarry.functions.numbers import bare_value
 from quarry.functions.text import COPOLYMER_MARKS, TOKEN_GAPS, abbreviation_pairs
 from quarry.operators.predicates import MATERIAL_LABELS, tagged_record
 
@@ -37,7 +37,7 @@ SPANS = "array<struct<text:string,label:string>>"
 MATERIAL = "struct<entity_name:string,material_class:string,role:string,polymer_type:string,normalized_material_name:string,coreferents:array<string>,components:array<string>>"
 PROPERTY = (
     "struct<entity_name:string,value:string,coreferents:array<string>,material_name:string,material_amount_entity:string,material_amount:string,"
-    "numeric_value:double,numeric_error:double,value_average:boolean,value_descriptor:string,unit:string,temperature_condition:string,frequency_condition:string,entity_start:int,value_start:int>"
+    "temperature_condition:string,frequency_condition:string,entity_start:int,value_start:int>"
 )
 AMOUNT = "struct<entity_name:string,material_amount:string>"
 RESULT = f"struct<materials:array<{MATERIAL}>,monomers:array<{MATERIAL}>,families:array<{MATERIAL}>,properties:array<{PROPERTY}>,amounts:array<{AMOUNT}>>"
@@ -260,7 +260,7 @@ def property_names(spans: list[Span], text: str) -> dict[str, list[str]]:
     return same
 
 
-def properties_of(parts: list[list[Span]], text: str, units: tuple[str, ...]) -> list[dict]:
+def properties_of(parts: list[list[Span]], text: str) -> list[dict]:
     """A pair for each value: the nearest property before it, the material and amount nearest to that."""
     same = property_names([s for p in parts for s in p], text)
     corefs = lambda n: next((c for c in same.values() if n in c), [])
@@ -286,12 +286,10 @@ def properties_of(parts: list[list[Span]], text: str, units: tuple[str, ...]) ->
             beside = next((j for j in (amount + 1, amount - 1) if 0 <= j < n and part[j].label in MATERIAL_LABELS), None) if amount is not None else None
             entity = part[beside].text if beside is not None else ""
             material = next((part[j].text for j in _around(n, at, True) if part[j].label in MATERIAL_LABELS and part[j].text != entity), "")
-            p = plain_value(m["value"].text, units)
             out.append(
                 {
                     "entity_name": m["name"].text, "value": m["value"].text, "coreferents": corefs(m["name"].text), "material_name": material, "material_amount_entity": entity,
-                    "material_amount": part[amount].text if beside is not None else "", "numeric_value": p["value"], "numeric_error": p["error"], "value_average": p["average"],
-                    "value_descriptor": p["descriptor"], "unit": p["unit"] or "", "temperature_condition": "", "frequency_condition": "", "entity_start": m["name"].start, "value_start": m["value"].start,
+                    "material_amount": part[amount].text if beside is not None else "", "temperature_condition": "", "frequency_condition": "", "entity_start": m["name"].start, "value_start": m["value"].start,
                 }
             )
         known = [p["value"] for p in out]
@@ -303,9 +301,6 @@ def properties_of(parts: list[list[Span]], text: str, units: tuple[str, ...]) ->
                 p["temperature_condition"] = heat or p["temperature_condition"]
                 if wave and p["entity_name"] in DIELECTRIC:
                     p["frequency_condition"] = wave.replace(" }", "}")
-    for p, q in zip(out, out[1:], strict=False):
-        if not p["unit"] and q["entity_name"] == p["entity_name"]:
-            p["unit"] = q["unit"]
     return out
 
 
@@ -320,11 +315,37 @@ def amounts_of(parts: list[list[Span]]) -> list[dict]:
     return out
 
 
-def document(text: str, tags: list[tuple[str, str]], names: dict[str, list[str]], units: tuple[str, ...] = (), solvents: tuple[str, ...] = ()) -> dict:
+def document(text: str, tags: list[tuple[str, str]], names: dict[str, list[str]], solvents: tuple[str, ...] = ()) -> dict:
     spans = group(tags)
     parts = sentences_of(spans)
     found, monomers, families = refine(materials_of(spans, text), parts, names, solvents)
-    return {"materials": [vars(m) for m in found], "monomers": [vars(m) for m in monomers], "families": [vars(m) for m in families], "properties": properties_of(parts, text, units), "amounts": amounts_of(parts)}
+    return {"materials": [vars(m) for m in found], "monomers": [vars(m) for m in monomers], "families": [vars(m) for m in families], "properties": properties_of(parts, text), "amounts": amounts_of(parts)}
+
+
+def with_numbers(properties: Column, units: tuple[str, ...]) -> Column:
+    """Property structs with number, error, average flag, descriptor and unit read from their values.
+
+    A property without a unit takes that of the next one of its name.
+    """
+    read = F.transform(properties, lambda p: F.struct(p.alias("p"), bare_value(p["value"], units).alias("v")))
+    blank = lambda u: F.coalesce(u, F.lit(""))
+
+    def made(x: Column, i: Column) -> Column:
+        after = F.get(read, i + 1)
+        borrowed = F.when((blank(x["v"]["unit"]) == "") & (after["p"]["entity_name"] == x["p"]["entity_name"]), after["v"]["unit"])
+        own = [x["p"][f].alias(f) for f in ("entity_name", "value", "coreferents", "material_name", "material_amount_entity", "material_amount")]
+        rest = [x["p"][f].alias(f) for f in ("temperature_condition", "frequency_condition", "entity_start", "value_start")]
+        return F.struct(
+            *own,
+            x["v"]["value"].alias("numeric_value"),
+            x["v"]["error"].alias("numeric_error"),
+            x["v"]["average"].alias("value_average"),
+            x["v"]["descriptor"].alias("value_descriptor"),
+            blank(F.coalesce(borrowed, x["v"]["unit"])).alias("unit"),
+            *rest,
+        )
+
+    return F.transform(read, made)
 
 
 def extracted(paragraphs: DataFrame, names: dict[str, list[str]], units: tuple[str, ...] = (), solvents: tuple[str, ...] = (), polymer_only: bool = True) -> DataFrame:
@@ -333,11 +354,12 @@ def extracted(paragraphs: DataFrame, names: dict[str, list[str]], units: tuple[s
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
-            rows = [document(t or "", [(s["text"], s["label"]) for s in x], names, units, solvents) for t, x in zip(texts, spans, strict=True)]
+            rows = [document(t or "", [(s["text"], s["label"]) for s in x], names, solvents) for t, x in zip(texts, spans, strict=True)]
             yield pd.DataFrame(rows, columns=["materials", "monomers", "families", "properties", "amounts"])
 
     relevant = paragraphs.where(tagged_record(F.transform("spans", lambda s: s["label"]), polymer_only))
-    return relevant.withColumn("result", run("text", "spans"))
+    found = relevant.withColumn("result", run("text", "spans"))
+    return found.withColumn("result", F.col("result").withField("properties", with_numbers(F.col("result.properties"), units)))
 
 
 def records(paragraphs: DataFrame, names: dict[str, list[str]], key: str = "para_id", **settings) -> DataFrame:

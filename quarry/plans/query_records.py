@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import numbers as N
 from quarry.functions import units
-from quarry.functions.numbers import precision_recall, value_parser
+from quarry.functions.numbers import precision_recall
 from quarry.operators import metrics as M
 from quarry.operators import predicates as P
 from quarry.operators import scoring as S
-from quarry.plans.common import PROPERTIES, Registry, materials, properties, read, texts, values_sql
+from quarry.plans.common import PROPERTIES, Registry, materials, properties, read, texts
 
 query = Registry()
 
@@ -192,16 +195,59 @@ def f1_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.by_document(rows.where("l_quantity > 10"), rows.where("l_quantity < 40"))
 
 
-VALUES = [
-    ("10 +/- 2 K", 6.0, None, "K", True), ("10 ± 2 K", 10.0, 2.0, "K", False), ("100-200 °C", 150.0, None, "°C", False), ("12 MPa at 25 °C", 12.0, None, "MPa", False),
-    ("30 K for A and 50 K for B", 40.0, None, "K", True), ("1.5x10^{-3} S cm^{-1}", 0.0015, None, "S cm^{-1}", False), ("10^{7} S", 1e7, None, None, False), ("no number", None, None, None, False), ("", None, None, None, False),
-]
+#: Value strings of a and b, by kind, and what they must read as: value, error, unit, average, descriptor, condition.
+VALUE_KINDS = [
+    ("{a} ± {b} MPa", "a", "b", "MPa", False, "", ""),
+    ("{a}-{c} °C", "(a + c) / 2.0", "NULL", "°C", False, "", ""),
+    ("{a} MPa at {b} °C", "a", "NULL", "MPa", False, "", "at {b} °C"),
+    ("{a} K for A and {c} K for B", "(a + c) / 2.0", "NULL", "K", True, "", "avg for A and B"),
+    ("{a} GPa in air", "a", "NULL", "GPa", False, "", "in air"),
+    ("~ {a} wt %, {b} K", "a", "NULL", "wt %", False, "~", ""),
+    ("{a} (see {b}) foo", "a", "NULL", "foo", False, "", ""),
+    ("{a} and {c} bar", "(a + c) / 2.0", "NULL", "bar", True, "and", ""),
+    ("{a}/{b}", "a / b", "NULL", "", False, "", ""),
+    ("{a}x10^{{b}} S cm^{-1}", "a * pow(10.0, b)", "NULL", "S cm^{-1}", False, "", ""),
+    ("no number", "NULL", "NULL", None, False, "", ""),
+]
+
+
+def _filled(form: str) -> str:
+    """SQL that fills a, b and c into a form."""
+    parts = re.split(r"\{([abc])\}", form)
+    return " || ".join(f"CAST({x} AS STRING)" if i % 2 else f"'{x}'" for i, x in enumerate(parts) if x)
+
+
+def _by_kind(values: list[str]) -> str:
+    return "CASE kind " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+_PARTS = f"SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS a, CAST(l_linenumber AS INT) AS b, CAST(l_quantity AS INT) + l_linenumber AS c, CAST((l_orderkey + l_linenumber) % {len(VALUE_KINDS)} AS INT) AS kind FROM lineitem"
 
 
-@query(values_sql([(v, n, e, a) for v, n, e, u, a in VALUES], ["raw", "value", "error", "average"], ["VARCHAR", "DOUBLE", "DOUBLE", "BOOLEAN"]))
+def _value_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read(spark, sf_dir, "lineitem").createOrReplaceTempView("quarry_lineitem")
+    return spark.sql(f"SELECT l_orderkey, l_linenumber, {_by_kind([_filled(v[0]) for v in VALUE_KINDS])} AS raw FROM ({_PARTS.replace('FROM lineitem', 'FROM quarry_lineitem')})")
+
+
+_text = lambda v: "NULL" if v is None else f"'{v}'"
+_EXPECTED = f"""SELECT l_orderkey, l_linenumber, {_by_kind([_filled(v[0]).replace("STRING", "VARCHAR") for v in VALUE_KINDS])} AS raw,
+  round(CAST({_by_kind([v[1] for v in VALUE_KINDS])} AS DOUBLE), 6) AS value, CAST({_by_kind([v[2] for v in VALUE_KINDS])} AS DOUBLE) AS error, {_by_kind([_text(v[3]) for v in VALUE_KINDS])} AS unit,
+  {_by_kind([str(v[4]) for v in VALUE_KINDS])} AS average, {_by_kind([_text(v[5]) for v in VALUE_KINDS])} AS descriptor, {_by_kind([_filled(v[6]).replace("STRING", "VARCHAR") or "''" for v in VALUE_KINDS])} AS condition
+FROM ({_PARTS})"""
+
+
+@query(_EXPECTED)
 def parse_property_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(v[0],) for v in VALUES], "raw string").withColumn("p", value_parser()("raw"))
-    return rows.select("raw", "p.value", "p.error", "p.average")
+    rows = _value_strings(spark, sf_dir).withColumn("p", N.value_parts("raw"))
+    return rows.select("l_orderkey", "l_linenumber", "raw", F.round("p.value", 6).alias("value"), "p.error", "p.unit", "p.average", "p.descriptor", "p.condition")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(CASE unit WHEN 'K' THEN value - 273.15 WHEN 'GPa' THEN value * 1000 ELSE value END, 6) AS numeric_value,
+  CASE unit WHEN 'GPa' THEN error * 1000 ELSE error END AS numeric_error, CASE unit WHEN 'K' THEN '°C' WHEN 'GPa' THEN 'MPa' ELSE unit END AS unit, condition AS condition_str
+FROM ({_EXPECTED}) WHERE value IS NOT NULL""")
+def converted_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = N.parsed_properties(_value_strings(spark, sf_dir), "raw")
+    return found.select("l_orderkey", "l_linenumber", F.round("numeric_value", 6).alias("numeric_value"), "numeric_error", "unit", "condition_str")
 
 
 QUERIES, ORACLES = query.queries, query.oracles
