@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a batch whose texts Python holds at a time.
+ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: ``spark.checkpoint.dir``.
 
@@ -86,13 +90,13 @@ def with_text_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = maker()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = b.column(n)
-            t = (t.cast(pa.binary()) if binary else t).to_pylist()
-            made = [pa.array(v, type=arrow.field(n + i).type) for i, v in enumerate(fn(t))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=arrow.names)
+        for big in batches:
+            for lo in range(0, big.num_rows, ROWS):
+                b = big.slice(lo, ROWS)
+                t = b.column(n)
+                t = (t.cast(pa.binary()) if binary else t).to_pylist()
+                made = [pa.array(v, type=arrow.field(n + i).type) for i, v in enumerate(fn(t))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=arrow.names)
 
     return source.mapInArrow(run, schema)
 

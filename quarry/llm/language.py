@@ -43,7 +43,7 @@ CACHE = 60_000
 #: Distinct words a counting task holds before it passes them on.
 HELD = 100_000
 #: Characters of text scored at a time.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Most back-off steps a word, on average, of a text that is in some language.
 MAX_STEPS = 1.0
 
@@ -63,9 +63,10 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies: ``index[n]`` maps a word (n = 0) or n-gram to its row of ``rows``, one value per language.
+    """Log frequencies: ``words`` and ``index[n]`` give a word's or n-gram's row of ``rows``, one value per language.
 
-    Travels to tasks as joined keys and one matrix, small and quick to read.
+    Words, by far the most, are one Arrow array and not a dictionary; a task holds little
+    more than their letters and the matrix.
     """
 
     def __init__(self, counts):
@@ -83,20 +84,14 @@ class Model:
             keys = counts.column("key").take(pa.array(at)).combine_chunks().dictionary_encode()
             table_ = np.zeros((len(keys.dictionary), max(1, len(self.langs))))
             table_[keys.indices.to_numpy(), lang[at]] = many[at]
-            self.index[n] = {k: first + i for i, k in enumerate(keys.dictionary.to_pylist())}
+            if n:
+                self.index[n] = {k: first + i for i, k in enumerate(keys.dictionary.to_pylist())}
+            else:
+                self.words = keys.dictionary.cast(pa.large_string())
             parts.append(np.log((table_ + 0.5) / (table_.sum(axis=0) + 0.5 * len(table_))) if len(table_) else table_)
             first += len(table_)
         self.rows = np.concatenate(parts).astype(np.float32)
 
-    def __getstate__(self) -> dict:
-        return {"langs": self.langs, "rows": self.rows, "keys": {n: "\n".join(found) for n, found in self.index.items()}}
-
-    def __setstate__(self, state: dict) -> None:
-        self.langs, self.rows, self.index, first = state["langs"], state["rows"], {}, 0
-        for n, keys in state["keys"].items():
-            self.index[n] = {k: first + i for i, k in enumerate(keys.split("\n") if keys else ())}
-            first += len(self.index[n])
-
     def unseen(self, words: list[str]) -> np.ndarray:
         """Rows of unseen words, with the steps that each was backed off as a last column."""
         flat: list[int] = []
@@ -120,48 +115,39 @@ class Model:
 
 
 class Scorer:
-    """Sums of rows by text; rows of unseen words are made on demand and now and then forgotten.
-
-    The last column of ``rows`` is the number of back-off steps.
-    """
+    """Sums of rows by text; rows of unseen words are made on demand and now and then forgotten."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.fixed = model, model.index[0], len(model.index[0])
-        self.fresh: dict[str, int] = {}
-        self.rows = np.zeros((self.fixed + CACHE, max(1, len(model.langs)) + 1), np.float32)
-        self.rows[: self.fixed, :-1] = model.rows[: self.fixed]
-
-    def learn(self, words: list[str]) -> None:
-        first = self.fixed + len(self.fresh)
-        last = first + len(words)
-        self.fresh.update(zip(words, range(first, last), strict=True))
-        if last > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((last - len(self.rows), self.rows.shape[1]), np.float32)])
-        self.rows[first:last] = self.model.unseen(words)
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """The rows of different words."""
+        self.model, self.fresh = model, {}
+        self.rows = np.zeros((0, model.rows.shape[1] + 1), np.float32)
+
+    def rows_of(self, words: pa.Array) -> np.ndarray:
+        """Rows of different words, with the number of back-off steps as a last column."""
+        known = pc.index_in(words, value_set=self.model.words)
+        out = np.zeros((len(words), self.rows.shape[1]), np.float32)
+        seen = known.is_valid().to_numpy(zero_copy_only=False)
+        out[seen, :-1] = self.model.rows[known.drop_null().to_numpy()]
+        unseen = words.filter(pc.is_null(known)).to_pylist()
         if len(self.fresh) > CACHE:
-            self.fresh.clear()
-            self.rows = self.rows[: self.fixed + CACHE]
-        at = list(map(self.known.get, words))
-        unseen = [i for i, x in enumerate(at) if x is None]
-        self.learn([words[i] for i in unseen if words[i] not in self.fresh])
-        for i in unseen:
-            at[i] = self.fresh[words[i]]
-        return np.array(at, np.int64)
+            self.fresh, self.rows = {}, self.rows[:0]
+        if more := [w for w in unseen if w not in self.fresh]:
+            self.fresh.update(zip(more, range(len(self.fresh), len(self.fresh) + len(more)), strict=True))
+            self.rows = np.concatenate([self.rows, self.model.unseen(more)])
+        if unseen:
+            out[~seen] = self.rows[[self.fresh[w] for w in unseen]]
+        return out
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of the rows of each text's words, and how many words it has."""
         words, sizes = words_of(texts)
         coded = words.dictionary_encode()
-        at = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        out, ends = np.zeros((len(texts), self.rows.shape[1])), np.cumsum(sizes)
+        rows, at = self.rows_of(coded.dictionary), coded.indices.to_numpy()
+        out, ends = np.zeros((len(texts), rows.shape[1])), np.cumsum(sizes)
         full = np.flatnonzero(sizes)
         for lo in range(0, len(full), 512):
             part = full[lo : lo + 512]
             first, last = ends[part[0]] - sizes[part[0]], ends[part[-1]]
-            out[part] = np.add.reduceat(self.rows[at[first:last]].astype(np.float64), ends[part] - sizes[part] - first, axis=0)
+            out[part] = np.add.reduceat(rows[at[first:last]].astype(np.float64), ends[part] - sizes[part] - first, axis=0)
         return out, sizes
 
     def judged(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
