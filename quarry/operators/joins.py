@@ -134,3 +134,23 @@ def polymers_of(materials: DataFrame, polymers: DataFrame, key: str, as_pattern:
     known = ~low.contains("composite") & ~low.contains("blend") & F.col("__p").isNotNull()
     name = F.when(known, F.col("__p.norm_name")).otherwise(F.col("normalized_material_name"))
     return materials.join(best, key, "left").withColumns({"material_class": kind, "normalized_material_name": name}).drop("__p")
+
+
+def paragraphs_of_data(data: DataFrame, properties: DataFrame, materials: DataFrame, method: str, name: str, below: int = 1) -> DataFrame:
+    """Paragraphs, each once, of a method's data on a property whose confidence lies below a bound."""
+    chosen = data.where((F.col("method") == method) & (F.col("property") == name) & (F.col("confidence") < below)).select("property_id")
+    linked = properties.select(F.col("id").alias("property_id"), "material_id").join(chosen, "property_id", "left_semi")
+    return materials.select(F.col("id").alias("material_id"), "para_id").join(linked, "material_id", "left_semi").select("para_id").distinct()
+
+
+def extracted_rows(properties: DataFrame, materials: DataFrame, method_id: int) -> DataFrame:
+    """(para_id, material, material_coreferents, property_name, property_value) of a method, as metrics read them."""
+    own = materials.select(F.col("id").alias("material_id"), "para_id", F.col("entity_name").alias("material"), F.col("coreferents").alias("material_coreferents"))
+    found = properties.where(F.col("method_id") == method_id).select("material_id", F.col("entity_name").alias("property_name"), F.col("value").alias("property_value"))
+    return found.join(own, "material_id").drop("material_id")
+
+
+def plot_points(data: DataFrame, properties: DataFrame, names: list[str], point: int = 0) -> DataFrame:
+    """Data of some properties that are still among the extracted ones, marked as a point of a plot."""
+    kept = data.where(F.col("property").isin(names)).join(properties.select(F.col("id").alias("property_id")), "property_id", "left_semi")
+    return kept.select(F.lit(point).alias("point"), "method", "material", "property", "value", "unit")

@@ -47,11 +47,42 @@ def metrics(extracted: DataFrame, curated: DataFrame, names: list[str], key: str
 
 
 def counters(extracted: DataFrame, curated: DataFrame, names: list[str], key: str = "para_id") -> DataFrame:
-    """One row: how many rows and paragraphs each side has before and after each filter."""
+    """One row of 26 counters.
+
+    tp, fp and fn of materials, values and both; curated paragraphs and rows; extracted rows of
+    these; of either side the rows of the property, and how many of them the other side matches
+    or not, by material, value and both.
+    """
     listed = F.array(*map(F.lit, names))
-    own = lambda df, name: df.agg(F.count(F.lit(1)).alias(name), _count(name_matches("property_name", listed)).cast("long").alias(f"{name}_of_property"))
     relevant = extracted.join(curated.select(key), key, "left_semi")
-    return own(relevant, "extracted_rows").crossJoin(own(curated, "curated_rows")).crossJoin(curated.agg(F.count_distinct(key).alias("paragraphs")))
+    found, wanted = relevant.where(name_matches("property_name", listed)), curated.where(name_matches("property_name", listed))
+    short = {"material": "mat", "value": "val", "property": "prop"}
+
+    def side(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        counts = [_count(F.col(p) if hit else ~F.col(p)).cast("long").alias(f"{short[p]}_{'' if hit else 'not_'}matched_iter_{name}") for p in PARTS for hit in (True, False)]
+        return _sided(own, other, key).agg(F.count(F.lit(1)).alias(f"prop_{name}_rows"), *counts)
+
+    totals = curated.agg(F.count_distinct(key).alias("para_from_curated"), F.count(F.lit(1)).alias("total_curated_rows"))
+    one = side(found, wanted, "extracted").crossJoin(side(wanted, found, "curated")).crossJoin(totals).crossJoin(relevant.agg(F.count(F.lit(1)).alias("relevant_extracted_rows")))
+    rates = [F.col(f"{short[p]}_{c}").alias(f"{k}_{short[p]}") for p in PARTS for k, c in (("tp", "matched_iter_extracted"), ("fp", "not_matched_iter_extracted"), ("fn", "not_matched_iter_curated"))]
+    return one.select("*", *rates)
+
+
+#: Price of a thousand tokens, and how much more a request with one shot costs.
+PRICE, ONE_SHOT = 0.0015, 3.5
+
+
+def token_costs(rows: DataFrame, tokens: Column, price: float = PRICE) -> DataFrame:
+    """``rows`` with ``tokens`` and what they cost; the count of a tokenizer is passed in."""
+    n = tokens.cast("long")
+    return rows.withColumns({"tokens": n, "cost": n / F.lit(1000.0) * F.lit(price)})
+
+
+def token_total(rows: DataFrame, tokens: Column, price: float = PRICE, one_shot: float = ONE_SHOT) -> DataFrame:
+    """One row: all tokens, their cost, and the cost with one shot in every request."""
+    total = F.coalesce(F.sum(tokens.cast("long")), F.lit(0))
+    cost = total / F.lit(1000.0) * F.lit(price)
+    return rows.agg(F.count(F.lit(1)).alias("requests"), total.alias("tokens"), cost.alias("cost"), (cost * F.lit(one_shot)).alias("one_shot_cost"))
 
 
 def by_document(extracted: DataFrame, truth: DataFrame, key: str = "doi") -> DataFrame:

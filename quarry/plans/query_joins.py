@@ -39,11 +39,11 @@ def not_in_list_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id AS id, source AS pid FROM documents d
-WHERE EXISTS (SELECT 1 FROM documents e JOIN labels l USING (doc_id) WHERE e.source = d.source AND l.toxic = 1 AND l.quality = 0 AND doc_id < 100)
+WHERE EXISTS (SELECT 1 FROM documents e JOIN labels l USING (doc_id) WHERE e.source = d.source AND l.toxic = 1 AND l.quality = 0)
 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def semi_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
-    chosen = labels.where("toxic = 1 AND quality = 0 AND id < 100")
+    chosen = labels.where("toxic = 1 AND quality = 0")
     return J.siblings(texts(spark, sf_dir).select("id", "pid"), chosen).join(labels, "id", "left_anti").select("id", "pid")
 
 
@@ -87,29 +87,30 @@ def exact_duplicates_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.keep_first(rows, ["digest"], ["doc_id"])
 
 
-@query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0)
-WHERE n = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 1)""")
+@query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+WHERE n = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return T.new_rows(rows.where("o_orderkey % 3 = 0"), rows.where("o_orderkey % 50 = 1"), ["o_custkey"], ["o_orderkey"])
+    rows = read(spark, sf_dir, "orders")
+    return T.new_rows(rows.select("o_orderkey", "o_custkey"), rows.where("o_orderstatus = 'P'"), ["o_custkey"], ["o_orderkey"])
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'NEW' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'NEW' ELSE o_orderstatus END AS status FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT'""")
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return T.upserted(rows.where("o_orderkey % 3 <> 0"), rows.where("o_orderkey % 2 = 0").withColumn("status", F.lit("NEW")), ["o_orderkey"])
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    new = rows.where("o_orderpriority = '1-URGENT'").withColumn("status", F.lit("NEW"))
+    return T.upserted(rows.where("status <> 'P'"), new, ["o_orderkey"]).drop("o_orderpriority")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '' ELSE l_returnflag END AS unit, CASE WHEN l_discount = 0 THEN 0.01::DOUBLE ELSE l_discount END AS error FROM lineitem""")
 def update_case_when(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_returnflag"))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", unit.alias("unit"), F.when(F.col("l_discount") == 0, 0.01).otherwise(F.col("l_discount")).alias("error"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("unit"), F.col("l_discount").alias("error"))
+    return T.updated(T.updated(rows, F.col("unit") == "R", unit=F.lit("")), F.col("error") == 0, error=F.lit(0.01))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F')")
 def delete_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, sf_dir, "lineitem").join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+    return T.without(read(spark, sf_dir, "lineitem"), gone, ["l_orderkey"]).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT o_orderkey FROM orders WHERE (CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END) IS DISTINCT FROM 'O'")
@@ -169,23 +170,58 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.fuzzy_matches(part, known, "name", "known", 90.0, best=2)
 
 
-@query("""WITH d AS (SELECT p_partkey AS ord, p_name AS name, [upper(p_name), p_brand] AS c FROM part WHERE p_partkey % 7 = 0)
+@query("""WITH d AS (SELECT p_partkey AS ord, p_name AS name, [upper(p_name), p_brand] AS c FROM part WHERE p_type = 'ECONOMY')
 SELECT p.p_partkey, (SELECT arg_min(d.name, d.ord) FROM d WHERE list_has_any(d.c, [p.p_name, upper(p.p_name), lower(p.p_name), upper(p.p_name[1]) || p.p_name[2:], lower(p.p_name[1]) || p.p_name[2:]])) AS normalized_material_name FROM part p""")
 def dictionary_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    dim = part.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.array(F.upper("p_name"), F.col("p_brand")).alias("coreferents"))
+    dim = part.where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.array(F.upper("p_name"), F.col("p_brand")).alias("coreferents"))
     return J.normalised(part.select("p_partkey", F.array("p_name").alias("coreferents")), dim, "p_partkey").select("p_partkey", "normalized_material_name")
 
 
 @query("""SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') THEN 'BLEND' WHEN k.name IS NOT NULL THEN 'POLYMER' ELSE '' END AS material_class
-FROM part LEFT JOIN (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 5 = 0) k ON k.name = p_name""".replace("'ring'", "'blend'"))
+FROM part LEFT JOIN (SELECT DISTINCT p_name AS name FROM part WHERE p_type = 'PROMO') k ON k.name = p_name""".replace("'ring'", "'blend'"))
 def known_polymers(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     rows = part.select("p_partkey", F.col("p_name").alias("entity_name"), F.lit("").alias("material_class"), F.lit("").alias("normalized_material_name"), F.array().cast("array<string>").alias("coreferents"))
-    dim = part.where("p_partkey % 5 = 0").select(F.col("p_name").alias("name"), norm_name("p_name").alias("norm_name"), F.lit(True).alias("is_polymer")).distinct()
+    dim = part.where("p_type = 'PROMO'").select(F.col("p_name").alias("name"), norm_name("p_name").alias("norm_name"), F.lit(True).alias("is_polymer")).distinct()
     return J.polymers_of(rows, dim, "p_partkey").select("p_partkey", "material_class")
 
 
+def _data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Extracted data, properties and materials, as order lines, orders' lines and parts."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    data = rows.where("l_discount > 0.05").select(
+        F.col("id").alias("property_id"), F.col("l_linestatus").alias("method"), F.col("l_suppkey").cast("string").alias("material"), F.col("l_returnflag").alias("property"),
+        F.col("l_extendedprice").alias("value"), F.lit("K").alias("unit"), (F.col("l_quantity") > 25).cast("int").alias("confidence"),
+    )
+    properties = rows.where("l_tax > 0.02").select("id", F.col("l_partkey").alias("material_id"), (F.col("l_suppkey") % 3).cast("int").alias("method_id"), F.col("l_returnflag").alias("entity_name"), F.col("l_shipdate").cast("string").alias("value"))
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("para_id"), F.col("p_name").alias("entity_name"), F.array("p_brand").alias("coreferents"))
+    return data, properties, parts
+
+
+@query("""WITH rows AS (SELECT *, l_orderkey * 10 + l_linenumber AS id FROM lineitem)
+SELECT DISTINCT CAST(p_size AS BIGINT) AS para_id FROM part WHERE p_partkey IN (SELECT l_partkey FROM rows WHERE l_tax > 0.02
+AND id IN (SELECT id FROM rows WHERE l_linestatus = 'O' AND l_returnflag = 'N' AND l_quantity <= 25 AND l_discount > 0.05))""")
+def paragraphs_of_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.paragraphs_of_data(*_data(spark, sf_dir), "O", "N")
+
+
+@query("""SELECT CAST(p_size AS BIGINT) AS para_id, p_name AS material, p_brand AS coreferent, l_returnflag AS property_name, count(*) AS n
+FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_tax > 0.02 AND l_suppkey % 3 = 1 GROUP BY ALL""")
+def extracted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, properties, parts = _data(spark, sf_dir)
+    rows = J.extracted_rows(properties, parts, 1).withColumn("coreferent", F.element_at("material_coreferents", 1))
+    return rows.groupBy("para_id", "material", "coreferent", "property_name").agg(F.count("property_value").alias("n"))
+
+
+@query("""WITH rows AS (SELECT *, l_orderkey * 10 + l_linenumber AS id FROM lineitem)
+SELECT CAST(0 AS INTEGER) AS point, l_linestatus AS method, l_suppkey::VARCHAR AS material, l_returnflag AS property, l_extendedprice AS value, 'K' AS unit
+FROM rows WHERE l_discount > 0.05 AND l_returnflag IN ('A', 'R') AND id IN (SELECT id FROM rows WHERE l_tax > 0.02)""")
+def plot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data, properties, _ = _data(spark, sf_dir)
+    return J.plot_points(data, properties, ["A", "R"])
+
+
 @query("SELECT DISTINCT p_type, p_size FROM part")
 def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_type", "p_size").distinct()

@@ -99,8 +99,7 @@ def respectively(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    return rows.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
+    return O.first_rows(read(spark, sf_dir, "orders"), 20, [F.desc("o_totalprice"), "o_orderkey"], o_orderstatus="F").select("o_orderkey", "o_totalprice")
 
 
 @query()

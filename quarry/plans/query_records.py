@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import numbers as N
 from quarry.functions import units
 from quarry.functions.numbers import precision_recall
+from quarry.operators import answers as A
 from quarry.operators import metrics as M
 from quarry.operators import predicates as P
 from quarry.operators import scoring as S
@@ -92,9 +93,10 @@ def selected_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FLAGS}
 SELECT 'extracted_properties' AS table_name, id AS table_row, 'price' AS filter_on, 'out_of_range' AS filter_name FROM properties
-WHERE NOT numeric_value BETWEEN 2000 AND 80000 AND id NOT IN (SELECT table_row FROM flags WHERE filter_name = 'out_of_range' AND table_row % 3 = 0)""")
+WHERE NOT numeric_value BETWEEN 2000 AND 80000 AND id NOT IN (SELECT f.table_row FROM flags f JOIN properties p ON p.id = f.table_row WHERE f.filter_name = 'out_of_range' AND p.quantity < 10)""")
 def flag_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = flags(spark, sf_dir).where("filter_name = 'out_of_range' AND table_row % 3 = 0")
+    few = properties(spark, sf_dir).where("quantity < 10").select(F.col("id").alias("table_row"))
+    there = flags(spark, sf_dir).where("filter_name = 'out_of_range'").join(few, "table_row", "left_semi")
     return S.RANGE.flagged(records(spark, sf_dir), "price", there)
 
 
@@ -250,4 +252,26 @@ def converted_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", F.round("numeric_value", 6).alias("numeric_value"), "numeric_error", "unit", "condition_str")
 
 
+class Echo:
+    """Answers with what the request says before its instruction."""
+
+    def answer(self, messages: list[dict]) -> dict:
+        return {"choices": [{"message": {"content": messages[-1]["content"].split("\n\n")[0]}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1}}
+
+
+@query("""SELECT p_partkey AS para_id, p_name AS entity_name, CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_type = 'PROMO') THEN 'POLYMER' WHEN p_name = 'large widget' THEN 'SOLVENT' ELSE '' END AS material_class,
+  CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_type = 'PROMO') THEN upper(p_name) ELSE '' END AS normalized_material_name, p_brand AS property, CAST(p_size - 273.15::DOUBLE AS DOUBLE) AS numeric_value, '°C' AS unit,
+  'at ' || p_partkey || ' bar' AS condition FROM part""")
+def answered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    value = F.concat(F.col("p_size").cast("string"), F.lit(" K at "), F.col("p_partkey").cast("string"), F.lit(" bar"))
+    whole = F.to_json(F.array(F.struct(F.col("p_name").alias("material"), F.col("p_brand").alias("property"), value.alias("value"))))
+    broken = F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), F.lit('] [{"material": "x", "property": "y", "value": "no number"}].'))
+    paragraphs = part.select(F.col("p_partkey").alias("para_id"), F.when(F.col("p_size") % 2 == 0, whole).otherwise(broken).alias("text"))
+    polymers = part.where("p_type = 'PROMO'").select(F.col("p_name").alias("name"), F.upper("p_name").alias("normalized_name")).distinct()
+    crossrefs = spark.createDataFrame([("no such name at all", "NSN")], "name string, othername string")
+    rows = A.answered_records(paragraphs, Echo(), polymers, crossrefs, "List all.", solvents=["Large Widget"])
+    return rows.select("para_id", "entity_name", "material_class", "normalized_material_name", "property", "numeric_value", "unit", "condition")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

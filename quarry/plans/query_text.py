@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import model_output as Y
 from quarry.functions import numbers as N
 from quarry.functions import text as X
+from quarry.operators import metrics as M
 from quarry.operators import predicates as P
 from quarry.plans.common import Registry, read, values_sql
 from quarry.plans.query_joins import LINES, lines
@@ -151,8 +152,13 @@ def abbreviation_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS tokens, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) / 1000.0::DOUBLE * 0.0015::DOUBLE AS cost FROM documents")
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
-    return read(spark, sf_dir, "documents").select("doc_id", n.alias("tokens"), (n / F.lit(1000.0) * F.lit(0.0015)).alias("cost"))
+    return M.token_costs(read(spark, sf_dir, "documents"), F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+"))).select("doc_id", "tokens", "cost")
+
+
+@query("""SELECT count(*) AS requests, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) / 1000.0::DOUBLE * 0.0015::DOUBLE AS cost, CAST(sum(n) AS BIGINT) / 1000.0::DOUBLE * 0.0015::DOUBLE * 3.5::DOUBLE AS one_shot_cost
+FROM (SELECT len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS n FROM documents)""")
+def token_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.token_total(read(spark, sf_dir, "documents"), F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")))
 
 
 @query("SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS n FROM (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN text || chr(10) || chr(10) || 'List all.' ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant'))")
@@ -201,9 +207,9 @@ def year_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.year_fraction("l_shipdate").alias("y"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\bthe\\b')) AS INTEGER) AS n FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\bthe\\b')) AS INTEGER) AS n FROM documents")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", D.word_count("text", "the").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", D.word_count("text", "the").alias("n"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,12 +81,11 @@ class Store:
 
     def delete_matching(self, name: str, other: DataFrame, on: list[str]) -> None:
         """Rows that have a partner in another table go."""
-        self.overwrite(name, self.read(name).join(other.select(*on), on, "left_anti"))
+        self.overwrite(name, without(self.read(name), other, on))
 
     def update(self, name: str, condition, **values) -> None:
         """New values where the condition is true, in one pass."""
-        rows = self.read(name)
-        self.overwrite(name, rows.withColumns({k: F.when(condition, v).otherwise(F.col(k)) for k, v in values.items()}))
+        self.overwrite(name, updated(self.read(name), condition, **values))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """New rows replace those of their key."""
@@ -133,6 +132,27 @@ def new_rows(rows: DataFrame, existing: DataFrame, key: list[str], order: list[s
     return first.join(there, cond, "left_anti")
 
 
+def without(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """rows that have no partner in another table."""
+    return rows.join(other.select(*on), on, "left_anti")
+
+
+def updated(rows: DataFrame, condition, **values) -> DataFrame:
+    """rows with new values where the condition is true, in one pass."""
+    return rows.withColumns({k: F.when(condition, v).otherwise(F.col(k)) for k, v in values.items()})
+
+
+def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Write rows by their values of ``by``: partitions that they have are replaced, others stay untouched."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def drop_partition(spark: SparkSession, path: str, **values: str) -> bool:
+    """Remove one partition, as by property and method, without reading any other; false if it isn't there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in values.items())]))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def upserted(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """existing with new rows in place of those of their key."""
     return existing.join(rows.select(*key), key, "left_anti").select(*existing.columns).unionByName(rows.select(*existing.columns))
