@@ -27,7 +27,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup by Jaccard similarity of five-word shingles: one document of each group stays."""
+    """SimHash near-dedup, confirmed and made complete by Jaccard similarity of five-word shingles: one document of each group stays."""
     return jaccard.one_of_each(docs)
 
 

@@ -4,7 +4,9 @@ import re
 import corpus_pipeline
 import pytest
 
-from quarry.llm import jaccard
+from pyspark.sql import functions as F
+
+from quarry.llm import jaccard, simhash
 
 
 def brute_set(text):
@@ -92,3 +94,52 @@ def test_groups_of_many_near_copies_with_a_line_of_all(spark):
     rows = list(enumerate(texts))
     kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), run_cap=8, block=16)
     assert sorted(r.doc_id for r in kept.collect()) == brute_stay(rows)
+
+
+def edited(rng, base, edits):
+    t = list(base)
+    for at in rng.sample(range(4, len(t) - 4), edits):
+        t[at] = f"x{rng.randrange(10**6)}"
+    return " ".join(t)
+
+
+def test_simhash_proposes_pairs_that_the_stage_confirms(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "one", "a b c d e", "a b c a b c a b c a b c"]
+    for _ in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(base), edited(rng, base, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    slim = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    rows = jaccard.prints(slim, jaccard.SIMILARITY, jaccard.SHINGLE).collect()
+    assert all(r.fp == simhash._signed(simhash.fingerprint(texts[r.id].encode(), jaccard.SHINGLE)) for r in rows)
+    fp = {r.cls: r.fp % 2**64 for r in rows}
+    near = {(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= simhash.RADIUS}
+    assert len(near) >= 5
+    asked, plain = [], simhash.links_between
+    monkeypatch.setattr(simhash, "links_between", lambda *a, **k: asked.append(1) or plain(*a, **k))
+    kept = spark.createDataFrame([(r.cls, r.fp) for r in rows], "cls long, fp long")
+    assert {tuple(r) for r in jaccard.by_fingerprint(kept).collect()} == near
+    assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, "").collect()) == brute_stay(list(enumerate(texts)))
+    assert len(asked) == 2
+
+
+@pytest.mark.parametrize("edits, with_base", [(4, False), (4, True), (2, False)])
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, edits, with_base):
+    """Copies too far apart, or joined by one text alone, or all near."""
+    rng = random.Random(edits)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [edited(rng, base, edits) for _ in range(200)] + [" ".join(base)] * with_base
+    made, plain = [], jaccard.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    rows = list(enumerate(texts))
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), run_cap=4, block=64)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_stay(rows)
+    assert max(made) <= 10 * len(rows)
