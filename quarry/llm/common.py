@@ -41,13 +41,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes tables made by ``written`` that no later step reads."""
+    """Removes tables made by ``written`` that no later step reads, and what the driver still holds of the steps before.
+
+    Plans, broadcasts and shuffles of a finished step stay until the driver's garbage is collected,
+    and the heap grows over a chain of many steps; a collection gives both back.
+    """
     for df in tables:
         spark = df.sparkSession
         for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if file.startswith(("file:", "/")) or "://" in file:
                 path = spark._jvm.org.apache.hadoop.fs.Path(file)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def unused(names: list[str], base: str) -> str:

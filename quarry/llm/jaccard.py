@@ -147,12 +147,15 @@ def prints(docs: DataFrame, similarity: float, width: int) -> DataFrame:
 
 
 def by_fingerprint(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that SimHash holds near: of one fingerprint, or of linked ones by their least classes."""
-    heads = classes.groupBy("fp").agg(F.min("cls").alias("head"))
+    """Pairs (a, b) of classes that SimHash holds near, as a table: of one fingerprint, or of linked ones by their least classes."""
+    heads = written(classes.groupBy("fp").agg(F.min("cls").alias("head")), "heads")
+    near = written(simhash.links_between(heads.select("fp")).distinct(), "near-prints")
     x, y = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
-    linked = simhash.links_between(heads.select("fp")).distinct().join(x, "a").join(y, "b").select("ha", "hb")
+    linked = near.join(x, "a").join(y, "b").select("ha", "hb")
     pairs = linked.union(classes.join(heads, "fp").where("cls != head").select("head", "cls"))
-    return pairs.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct()
+    made = written(pairs.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "by-fingerprint")
+    discard(heads, near)
+    return made
 
 
 def _may_reach(n, i, m, j, similarity: float):
@@ -326,9 +329,11 @@ def _between_blocks(placed: DataFrame, docs: DataFrame, classes: DataFrame, simi
     sizes = sizes.select(
         "key", F.col("top.root").alias("main"), blocks(F.col("all"), F.col("held")).alias("blocks"), blocks(F.col("all") - F.col("top.many"), F.col("held") - F.col("top.held")).alias("minors")
     )
+    sizes = written(sizes, "sizes")
     own = placed.join(sizes, "key").join(classes.select("cls", "sketch"), "cls").select(
         "key", "cls", "n", "pos", "root", "sketch", "blocks", "minors", (F.col("root") != F.col("main")).cast("int").alias("minor"), F.xxhash64("cls").alias("h")
     )
+    own = written(own, "own")
     upto = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
     left = own.where("minor = 1").withColumns({"i": F.pmod("h", "minors"), "side": F.lit(0)}).withColumn("j", upto("blocks"))
     right = own.withColumns({"j": F.pmod("h", "blocks"), "side": F.lit(1)}).withColumn("i", upto("minors"))
@@ -336,7 +341,7 @@ def _between_blocks(placed: DataFrame, docs: DataFrame, classes: DataFrame, simi
     met = written(met, "met")
     sets = _sets(met.select("cls"), docs, classes, width)
     made = written(met.join(sets, "cls").groupBy("key", "i", "j").applyInArrow(_block_links(similarity), "a long, b long").distinct(), "between")
-    discard(met, sets)
+    discard(met, sets, sizes, own)
     return made
 
 
@@ -344,7 +349,7 @@ def links(docs: DataFrame, kept: DataFrame, similarity: float = SIMILARITY, widt
     """Links (a, b) of classes whose components are those of all similar pairs."""
     same = [F.first(c).alias(c) for c in ("n", "bits", "sketch")]
     classes = written(kept.groupBy("cls").agg(F.min("hash").alias("hash"), F.min("fp").alias("fp"), *same), "classes")
-    prints_near = written(by_fingerprint(classes.select("cls", "fp")), "by-fingerprint")
+    prints_near = by_fingerprint(classes.select("cls", "fp"))
     keys = kept.select(F.posexplode("prefix").alias("pos", "key"), "n", "cls").select("key", "n", "cls", "pos")
     dealt = keys.repartition("key").sortWithinPartitions("key", "n", "cls")
     found = written(dealt.mapInArrow(_runs(run_cap, similarity), "kind long, a long, b long, n long, pos long"), "runs")
