@@ -40,17 +40,35 @@ def of_filtered_papers(paragraphs: DataFrame, filtered: DataFrame, filter_name:
     return paragraphs.join(own.select("doi"), "doi", "left_semi")
 
 
+def uncontained(rows: Column, pos: str, text: str, named: Column | bool = True) -> Column:
+    """An array of structs in order, without repeated texts and parts of earlier ones; where not ``named``, only repeats go.
+
+    ``rows`` must be a column that is already computed, as each element refers to it.
+    """
+    named = F.lit(named) if isinstance(named, bool) else named
+
+    def holds(e: Column, r: Column) -> Column:
+        inside = named & (e[pos] < r[pos]) & (F.length(e[text]) >= F.length(r[text])) & F.contains(e[text], r[text])
+        return e[text].eqNullSafe(r[text]) | F.coalesce(inside, F.lit(False))
+
+    return F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda e: holds(e, r)))
+
+
 def without_contained(paragraphs: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
     """Paragraphs that no earlier paragraph of their document holds as a part.
 
-    The document is the join key, containment a condition on its pairs. A part is no longer
-    than the whole, so equal texts are dropped first, by hash.
+    A document's paragraphs are brought together as one row and compared there, so no pairs of
+    rows are made and the text is shuffled once. Rows without a document only lose their repeats.
     """
-    first = Window.partitionBy(doc, text).orderBy(pos)
-    kept = paragraphs.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    a, b = kept.alias("a"), kept.select(doc, F.col(pos).alias("__p"), F.col(text).alias("__t")).alias("b")
-    inside = (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("b.__p") < F.col(f"a.{pos}")) & (F.length("b.__t") >= F.length(f"a.{text}")) & F.contains(F.col("b.__t"), F.col(f"a.{text}"))
-    return a.join(b, inside, "left_anti")
+
+    def order(x: Column, y: Column) -> Column:
+        a, b = x[pos], y[pos]
+        return F.when(a.eqNullSafe(b), 0).when(a.isNull() | (a < b), -1).otherwise(1)
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in paragraphs.columns])
+    groups = paragraphs.groupBy(F.col(doc).alias("__doc"), F.when(F.col(doc).isNull(), F.col(text)).alias("__alone")).agg(F.collect_list(whole).alias("__rows"))
+    groups = groups.select("__doc", F.explode(F.array(F.array_sort("__rows", order))).alias("__rows"))
+    return groups.select(F.explode(uncontained(F.col("__rows"), pos, text, F.col("__doc").isNotNull())).alias("__r")).select("__r.*")
 
 
 def ratio(a: str, b: str) -> float:

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import arrow, caption_number, filename_to_doi, normalize_chars
-from quarry.operators.joins import without_contained
+from quarry.operators.joins import uncontained, without_contained
 from quarry.operators.predicates import is_reference, valid_paragraph
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,7 +31,6 @@ class Node:
     tag: str
     attrs: dict = field(default_factory=dict)
     children: list = field(default_factory=list)
-    parent: Node | None = field(default=None, repr=False)
 
     def find(self, *tags: str) -> Iterator[Node]:
         todo = [self]
@@ -43,41 +42,41 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """Open elements are a stack, so that nodes don't refer back and a tree is freed as soon as it is read."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("")
+        self.open = [Node("")]
 
     def handle_starttag(self, tag, attrs):
         tag = tag.rpartition(":")[2]
         ends = ENDS.get(tag, ())
-        while self.at.tag in ends and self.at.parent:
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, parent=self.at)
-        self.at.children.append(node)
+        while len(self.open) > 1 and self.open[-1].tag in ends:
+            self.open.pop()
+        node = Node(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag.rpartition(":")[2], {k: v or "" for k, v in attrs}, parent=self.at))
+        self.open[-1].children.append(Node(tag.rpartition(":")[2], {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
         tag = tag.rpartition(":")[2]
-        n = self.at
-        while n.parent and n.tag != tag:
-            n = n.parent
-        if n.parent:
-            self.at = n.parent
+        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), None)
+        if at is not None:
+            del self.open[at:]
 
     def handle_data(self, data):
-        if self.at.tag not in SILENT:
-            self.at.children.append(data)
+        if self.open[-1].tag not in SILENT:
+            self.open[-1].children.append(data)
 
 
 def tree(source: str) -> Node:
     b = _Builder()
     b.feed(source)
     b.close()
-    return b.root
+    return b.open[0]
 
 
 # fixed values: how raised and lowered text is written
@@ -184,27 +183,42 @@ def table_records(cells: list[list[str]]) -> list[str]:
     return [json.dumps(dict(zip(names, map(_typed, r), strict=True)), ensure_ascii=False) for r in cells[1:]]
 
 
-def parse(source: str | None, rule: Rule = GENERIC) -> dict:
-    """Title, abstract, doi, paragraphs in order and tables of one document."""
+#: A document's parts and their types.
+PARTS = {
+    "title": "string", "abstract": "string", "doi": "string", "paragraphs": "array<string>",
+    "tables": "array<struct<caption:string,header:array<string>,body:array<array<string>>,jsonl:array<string>>>",
+}
+DOCUMENT = f"struct<{','.join(f'{k}:{v}' for k, v in PARTS.items())}>"
+#: Characters of documents that a Python worker reads before it hands over their parts.
+CHUNK = 1 << 20
+
+
+def parse(source: str | None, rule: Rule = GENERIC, parts: Iterable[str] = tuple(PARTS)) -> dict:
+    """Title, abstract, doi, paragraphs in order and tables of one document; only ``parts`` are looked for."""
     out = {"title": None, "abstract": None, "doi": None, "paragraphs": [], "tables": []}
     if not source:
         return out
     root = tree(source)
     first = lambda tags: next((t for n in root.find(*tags) if (t := inner_text(n))), None)
-    out["title"], out["abstract"] = first(rule.titles), first(rule.abstracts)
     metas = {n.attrs.get("name", "").lower(): n.attrs.get("content", "") for n in root.find("meta")}
-    out["title"] = metas.get("citation_title") or out["title"]
-    out["abstract"] = out["abstract"] or metas.get("citation_abstract") or metas.get("dc.description")
-    doi = next((metas[m] for m in rule.doi_meta if metas.get(m)), None) or next((inner_text(n) for n in root.find("article-id", "doi") if n.attrs.get("pub-id-type", "doi") == "doi"), None)
-    out["doi"] = re.sub(r"^(doi:|https?://(dx\.)?doi\.org/)", "", doi) if doi else None
-    for n in root.find(*rule.paragraphs):
+    if "title" in parts:
+        out["title"] = metas.get("citation_title") or first(rule.titles)
+    if "abstract" in parts:
+        out["abstract"] = first(rule.abstracts) or metas.get("citation_abstract") or metas.get("dc.description")
+    if "doi" in parts:
+        doi = next((metas[m] for m in rule.doi_meta if metas.get(m)), None) or next((inner_text(n) for n in root.find("article-id", "doi") if n.attrs.get("pub-id-type", "doi") == "doi"), None)
+        out["doi"] = re.sub(r"^(doi:|https?://(dx\.)?doi\.org/)", "", doi) if doi else None
+    for n in root.find(*rule.paragraphs) if "paragraphs" in parts else ():
         if rule.css and rule.css not in n.attrs.get("class", "").lower().split():
             continue
         text = inner_text(n)
         if text:
             out["paragraphs"].append(text)
+    if "tables" not in parts:
+        return out
+    wrapped = {id(c) for n in root.find("table-wrap", "tbl") for c in n.children if isinstance(c, Node) and c.tag == "table"}
     for n in root.find("table", "table-wrap", "tbl"):
-        if n.tag == "table" and n.parent and n.parent.tag in ("table-wrap", "tbl"):
+        if id(n) in wrapped:
             continue
         cells = grid(n)
         caption = next((t for c in n.find(*rule.captions) if (t := inner_text(c))), None)
@@ -213,16 +227,40 @@ def parse(source: str | None, rule: Rule = GENERIC) -> dict:
     return out
 
 
-DOCUMENT = "struct<title:string,abstract:string,doi:string,paragraphs:array<string>,tables:array<struct<caption:string,header:array<string>,body:array<array<string>>,jsonl:array<string>>>>"
+def chunks(sources: Iterable[str | None], size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of documents: a run ends with the document that brings it to ``size`` characters."""
+    lo = n = hi = 0
+    for hi, s in enumerate(sources, 1):
+        n += len(s or "")
+        if n >= size:
+            yield lo, hi
+            lo, n = hi, 0
+    if lo < hi:
+        yield lo, hi
+
 
+def _parsed(content: Column, publisher: Column, parts: tuple[str, ...], kind: str) -> Column:
+    """A struct of parts, or the one part itself; a worker holds the parts of a chunk of documents at a time."""
 
-@arrow(DOCUMENT)
-def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @arrow(kind)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:  # a series of a single part, which Spark tells by the kind
+        rules = {r.publisher: r for r in RULES}
+        for sources, publishers in batches:
+            for lo, hi in chunks(sources, CHUNK):
+                rows = [parse(s, rules.get(p, GENERIC), parts) for s, p in zip(sources.iloc[lo:hi], publishers.iloc[lo:hi], strict=True)]
+                yield pd.DataFrame(rows, columns=list(parts)) if kind.startswith("struct") else pd.Series([r[parts[0]] for r in rows], dtype=object)
+
+    return run(content, publisher)
+
+
+def parsed(content: Column, publisher: Column) -> Column:
     """Whole documents and their publishers, to their parts; unknown publishers are read by the generic rule."""
-    rules = {r.publisher: r for r in RULES}
-    for sources, publishers in batches:
-        rows = [parse(s, rules.get(p, GENERIC)) for s, p in zip(sources, publishers, strict=True)]
-        yield pd.DataFrame(rows, columns=["title", "abstract", "doi", "paragraphs", "tables"])
+    return _parsed(content, publisher, tuple(PARTS), DOCUMENT)
+
+
+def part_of(content: Column, publisher: Column, part: str) -> Column:
+    """One part of whole documents; the others are not looked for."""
+    return _parsed(content, publisher, (part,), PARTS[part])
 
 
 def read_documents(spark: SparkSession, path: str, publisher: str | None = None) -> DataFrame:
@@ -244,15 +282,22 @@ def of_known_publishers(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def paragraphs_of(documents: DataFrame, key: str, content: str = "content", publisher: str | None = "publisher", dedup: bool = True) -> DataFrame:
     """(key, pos, text): valid paragraphs in order, without references, repeats and parts of earlier ones."""
     by = F.col(publisher) if publisher else F.lit("")
-    rows = documents.select(key, parsed(F.col(content), by).alias("d")).select(key, F.posexplode("d.paragraphs").alias("pos", "text"))
-    rows = rows.withColumn("text", normalize_chars("text")).where(valid_paragraph("text") & ~is_reference("text"))
-    return without_contained(rows, key, "pos", "text") if dedup else rows
+    texts = F.transform(part_of(F.col(content), by, "paragraphs"), lambda t, i: F.struct(i.alias("pos"), normalize_chars(t).alias("text")))
+    # a generated column is computed once, before the filters on it
+    own = documents.select(key, F.explode(F.array(texts)).alias("p"))
+    valid = F.filter("p", lambda x: valid_paragraph(x["text"]) & ~is_reference(x["text"]))
+    if not dedup:
+        return own.select(key, F.explode(valid).alias("p")).select(key, "p.pos", "p.text")
+    own = own.select(key, F.explode(F.array(valid)).alias("p"))
+    # most repeats go inside their row; documents of one key still meet
+    rows = own.select(key, F.explode(uncontained(F.col("p"), "pos", "text")).alias("p")).select(key, "p.pos", "p.text")
+    return without_contained(rows, key, "pos", "text")
 
 
 def tables_of(documents: DataFrame, key: str, content: str = "content", publisher: str | None = "publisher") -> DataFrame:
     """(key, pos, caption, number, header, body, jsonl): tables with a caption, the first of each caption."""
     by = F.col(publisher) if publisher else F.lit("")
-    rows = documents.select(key, parsed(F.col(content), by).alias("d")).select(key, F.posexplode("d.tables").alias("pos", "t")).select(key, "pos", "t.*")
+    rows = documents.select(key, F.posexplode(part_of(F.col(content), by, "tables")).alias("pos", "t")).select(key, "pos", "t.*")
     rows = rows.where(F.col("caption").isNotNull()).withColumn("number", caption_number("caption"))
     from quarry.operators.ordered import keep_first
 
