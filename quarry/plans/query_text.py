@@ -228,8 +228,8 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, contains(html, '<title>') AS titled FROM pages")
 def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).select("page_id", D.parsed(F.col("content"), F.lit("")).alias("d"))
-    return rows.select("page_id", F.col("d.title").isNotNull().alias("titled"))
+    rows = _pages(spark, sf_dir).select("page_id", D.part_of(F.col("content"), F.lit(""), "title").alias("title"))
+    return rows.select("page_id", F.col("title").isNotNull().alias("titled"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles
