@@ -120,6 +120,25 @@ def fuzzy_matches(names: DataFrame, known: DataFrame, name: str, known_name: str
     return names.join(top.select(name, F.col("__k").alias("match"), "match_score", "match_rank"), name, "left")
 
 
+def edit_distance_pairs(rows: DataFrame, block: list[str], key: str, name: str, most: int) -> DataFrame:
+    """(a, b, edits): pairs of keys, a < b, of one block whose names are at most that many edits apart.
+
+    Edits are counted once for each two different names of a block, then rows are had by their
+    names. So the work grows with different names squared, and with the pairs that are returned.
+    """
+    own = [F.col(f"`{c}`").alias(f"__g{i}") for i, c in enumerate(block)]
+    blocks = [f"__g{i}" for i in range(len(block))]
+    members = rows.select(*own, F.col(key).alias("__id"), F.col(name).alias("__name")).hint("merge")  # too many to broadcast, however small their file
+    names = members.select(*blocks, "__name").distinct()
+    met = names.withColumnRenamed("__name", "__x").join(names.withColumnRenamed("__name", "__y"), blocks).where("__x <= __y")
+    near = met.withColumn("edits", F.levenshtein("__x", "__y", most)).where("edits >= 0")
+    # both ways round, as either name may have the smaller key
+    ways = F.when(F.col("__x") == F.col("__y"), F.array(F.struct("__x", "__y"))).otherwise(F.array(F.struct("__x", "__y"), F.struct(F.col("__y").alias("__x"), F.col("__x").alias("__y"))))
+    near = near.select(*blocks, "edits", F.explode(ways).alias("__w")).select(*blocks, "edits", "__w.*")
+    left = near.join(members.select(*blocks, F.col("__id").alias("a"), F.col("__name").alias("__x")), [*blocks, "__x"])
+    return left.join(members.select(*blocks, F.col("__id").alias("b"), F.col("__name").alias("__y")), [*blocks, "__y"]).where("a < b").select("a", "b", "edits")
+
+
 def case_variants(term) -> Column:
     """A term as it is, with its first letter in either case, and in lower and upper case."""
     head, tail = F.substring(term, 1, 1), F.substring(term, F.lit(2), F.length(term))
@@ -129,12 +148,14 @@ def case_variants(term) -> Column:
 def normalised(materials: DataFrame, dictionary: DataFrame, key: str, coreferents: str = "coreferents") -> DataFrame:
     """materials with ``normalized_material_name``: the first entry, in the dictionary's order, that lists a variant of any coreferent.
 
-    dictionary: (ord, name, coreferents).
+    dictionary: (ord, name, coreferents). Entries that list the same variant are one before they
+    are met, as only the first can be chosen, so a material meets at most one row a variant.
     """
     entries = dictionary.select("ord", "name", F.explode("coreferents").alias("__v"))
+    entries = entries.groupBy("__v").agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))
     asked = materials.select(key, F.explode(F.array_distinct(F.flatten(F.transform(coreferents, case_variants)))).alias("__v"))
-    best = asked.join(entries, "__v").groupBy(key).agg(F.min_by("name", "ord").alias("normalized_material_name"))
-    return materials.drop("normalized_material_name").join(best, key, "left")
+    best = asked.hint("merge").join(entries, "__v").groupBy(key).agg(F.min_by("name", "ord").alias("normalized_material_name"))
+    return materials.drop("normalized_material_name").join(best.hint("merge"), key, "left")  # neither is broadcast: as many rows as materials, however small their file
 
 
 def polymers_of(materials: DataFrame, polymers: DataFrame, key: str, as_pattern: bool = False) -> DataFrame:

@@ -157,10 +157,8 @@ def collect_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l.p_partkey AS a, r.p_partkey AS b, CAST(levenshtein(l.p_name, r.p_name) AS INTEGER) AS edits FROM part l JOIN part r
 ON l.p_brand = r.p_brand AND l.p_size = r.p_size AND l.p_partkey < r.p_partkey AND levenshtein(l.p_name, r.p_name) <= 3""")
 def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    a = part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
-    b = part.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").withColumn("edits", F.levenshtein("x", "y", 3)).where("edits >= 0").select("a", "b", "edits")
+    part = read(spark, sf_dir, "part").select("p_brand", "p_size", F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return J.edit_distance_pairs(part, ["p_brand", "p_size"], "id", "name", 3)
 
 
 @query()

@@ -13,6 +13,10 @@ def plan(rows) -> str:
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def optimized(rows) -> str:
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_paragraphs_parse_once_and_meet_in_no_pairs(spark):
     page = "<p>One long paragraph, with more than five words in it.<p>more than five words in it.<p>Another. With six words and more.<p>short"
     docs = spark.createDataFrame([(1, page), (1, "<p>x<p>x<p>x<p>One long paragraph, with more than five words in it."), (2, "<p>more than five words in it."), (3, None)], "k long, content string")
@@ -55,3 +59,20 @@ def test_tables_in_wraps_count_once():
 def test_titles_are_read_alone(spark):
     docs = spark.createDataFrame([(1, "<title>T</title><p>x"), (2, "<p>x"), (3, None)], "k long, content string")
     assert [r.t for r in docs.select("k", D.part_of(F.col("content"), F.lit(""), "title").alias("t")).orderBy("k").collect()] == ["T", None, None]
+
+
+def test_entries_of_one_variant_are_met_once(spark):
+    dictionary = spark.createDataFrame([(i, f"n{i}", ["PE", "pe"]) for i in range(50, 0, -1)] + [(None, "none", ["PP"]), (60, "first", ["PS", "PE"])], "ord int, name string, coreferents array<string>")
+    asked = spark.createDataFrame([(k, ["pe"]) for k in range(40)] + [(40, ["PP"]), (41, ["ps", "xx"]), (42, []), (43, None)], "id int, coreferents array<string>")
+    rows = J.normalised(asked, dictionary, "id")
+    got = {r.id: r.normalized_material_name for r in rows.collect()}
+    assert got == {k: "n1" for k in range(40)} | {40: None, 41: "first", 42: None, 43: None}
+    assert "min_by(name" in plan(J.normalised(asked, dictionary, "id")).split("Join")[-1]
+
+
+def test_edits_are_counted_once_for_different_names(spark):
+    names = [("x", i, n) for i, n in enumerate(["abc", "abd", "abc", "zzzzzz", None, "abc", "abcdef"])] + [("y", 10, "abc"), (None, 11, "abc"), (None, 12, "abc")]
+    rows = J.edit_distance_pairs(spark.createDataFrame(names, "g string, id int, n string"), ["g"], "id", "n", 2)
+    assert sorted(map(tuple, rows.collect())) == [(0, 1, 1), (0, 2, 0), (0, 5, 0), (1, 2, 1), (1, 5, 1), (2, 5, 0)]
+    names = optimized(J.edit_distance_pairs(spark.range(9).select(F.lit("x").alias("g"), "id", F.col("id").cast("string").alias("n")), ["g"], "id", "n", 2)).split("levenshtein", 1)[1]
+    assert names.count("Aggregate") == 2
