@@ -5,7 +5,9 @@ import weakref
 
 from pyspark.sql import functions as F
 
+from quarry.functions import numbers as N
 from quarry.operators import joins as J
+from quarry.operators import scoring as S
 from quarry.sources import documents as D
 
 
@@ -76,3 +78,32 @@ def test_edits_are_counted_once_for_different_names(spark):
     assert sorted(map(tuple, rows.collect())) == [(0, 1, 1), (0, 2, 0), (0, 5, 0), (1, 2, 1), (1, 5, 1), (2, 5, 0)]
     names = optimized(J.edit_distance_pairs(spark.range(9).select(F.lit("x").alias("g"), "id", F.col("id").cast("string").alias("n")), ["g"], "id", "n", 2)).split("levenshtein", 1)[1]
     assert names.count("Aggregate") == 2
+
+
+def test_values_that_repeat_are_read_once(spark):
+    raw = ["10 ± 2 K", "10 ± 2 K", "5 GPa at 25 °C", "no number", None, "2 to 4 %"]
+    rows = spark.createDataFrame([(i, x, "kept") for i, x in enumerate(raw)], "id int, raw string, other string")
+    got, want = N.with_value_parts(rows, "raw"), rows.withColumn("p", N.value_parts("raw"))
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    once, each = (sorted(N.parsed_properties(rows, "raw", once=x).collect()) for x in (True, False))
+    assert once == each and [r.id for r in once] == [0, 1, 2, 5]
+    below = optimized(got).split("Generate", 1)[1]
+    assert "Aggregate [__value" in below
+
+
+def test_flagged_records_are_chosen_before_their_texts(spark, monkeypatch):
+    kind = "id long, material_id long, method_id int, numeric_value double, unit string"
+    properties = spark.createDataFrame([(1, 1, 3, 1.0, "K"), (1, 2, 4, 2.0, "K"), (2, 1, 3, 3.0, "K"), (3, 1, 4, 4.0, "K"), (4, 9, 3, 5.0, "K")], kind)
+    flags = spark.createDataFrame([(1, "x", "is_polymer"), (1, "x", "is_polymer"), (1, "y", "is_polymer"), (3, "x", "is_table"), (4, "x", "is_table")], "table_row long, filter_on string, filter_name string")
+    materials = spark.createDataFrame([(1, "A", "", 1), (2, "B", "", 1)], "id long, entity_name string, material_class string, para_id long")
+    texts = spark.createDataFrame([(1, "d", "t")], "id long, doi string, text string")
+
+    def rows():
+        return S.scored(properties, materials, texts, S.selected_scores(flags, properties, 3, "x"), "m", "x", flagged_only=True)
+
+    want = [(1, "A", 0, 2), (1, "B", 0, 2)]
+    assert sorted((r.prop_id, r.material, r.error, r.score) for r in rows().collect()) == want
+    assert optimized(rows()).count("broadcast") >= 2  # of the ids, and of the scores
+    monkeypatch.setattr(S, "FEW", 1)
+    assert sorted((r.prop_id, r.material, r.error, r.score) for r in rows().collect()) == want
+    assert "broadcast" not in optimized(rows())
