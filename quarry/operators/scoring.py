@@ -25,13 +25,24 @@ def scores(flags: DataFrame) -> DataFrame:
     return sums.withColumns({"error": F.col("unit") + F.col("prop") + F.col("tabl") + F.col("rang"), "score": F.col("poly")})
 
 
+#: So many ids, and their scores, at most are sent to all executors: some MB.
+FEW = 300_000
+
+
 def selected_scores(flags: DataFrame, properties: DataFrame, method_id: int, filter_on: str) -> DataFrame:
-    """The same per (filter_on, record) of one method and property, where a valid name counts for the record and is no error."""
-    own = flags.where(F.col("filter_on") == filter_on).join(properties.where(F.col("method_id") == method_id).select(F.col("id").alias("table_row")), "table_row", "left_semi")
+    """The same per (filter_on, record) of one method and property, where a valid name counts for the record and is no error.
+
+    The method's ids are counted first, ``FEW`` at most; where they are few, flags, and the
+    records that these scores are joined with, are filtered where they are read and not shuffled.
+    """
+    ids = properties.where(F.col("method_id") == method_id).select(F.col("id").alias("table_row")).distinct()
+    few = ids.limit(FEW + 1).count() <= FEW
+    held = F.broadcast if few else lambda df: df
+    own = flags.where(F.col("filter_on") == filter_on).join(held(ids), "table_row", "left_semi")
     sums = own.groupBy("filter_on", F.col("table_row").alias("prop_id")).agg(
         *[_signed(f, -1).alias(c) for c, f in ERRORS.items() if c != "prop"], _signed(POLYMER, 1).alias("poly"), _signed(VALID_NAME, 1).alias("prop")
     )
-    return sums.withColumns({"error": F.col("unit") + F.col("tabl") + F.col("rang"), "score": F.col("poly")})
+    return held(sums.withColumns({"error": F.col("unit") + F.col("tabl") + F.col("rang"), "score": F.col("poly")}))
 
 
 def star(properties: DataFrame, materials: DataFrame, texts: DataFrame) -> DataFrame:
@@ -42,9 +53,9 @@ def star(properties: DataFrame, materials: DataFrame, texts: DataFrame) -> DataF
 
 
 def scored(properties: DataFrame, materials: DataFrame, texts: DataFrame, found: DataFrame, method: str, name: str, flagged_only: bool = False) -> DataFrame:
-    """Records with error and score: unflagged ones have 0 and 0, or go if ``flagged_only``."""
-    base = star(properties, materials, texts).withColumnRenamed("id", "prop_id")
-    joined = base.join(found.select("prop_id", "error", "score"), "prop_id", "inner" if flagged_only else "left")
+    """Records with error and score: unflagged ones have 0 and 0, or go if ``flagged_only``, before their material and text are looked up."""
+    own, found = properties.withColumnRenamed("id", "prop_id"), found.select("prop_id", "error", "score")
+    joined = star(own.join(found, "prop_id"), materials, texts) if flagged_only else star(own, materials, texts).join(found, "prop_id", "left")
     return joined.select(
         "doi", F.lit(method).alias("method"), "material", F.lit(name).alias("property"), F.col("numeric_value").alias("value"), "unit", "prop_id",
         F.coalesce("error", F.lit(0)).alias("error"), F.coalesce("score", F.lit(0)).alias("score"),
