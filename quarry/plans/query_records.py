@@ -248,7 +248,7 @@ def parse_property_values(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE unit WHEN 'GPa' THEN error * 1000 ELSE error END AS numeric_error, CASE unit WHEN 'K' THEN '°C' WHEN 'GPa' THEN 'MPa' ELSE unit END AS unit, condition AS condition_str
 FROM ({_EXPECTED}) WHERE value IS NOT NULL""")
 def converted_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = N.parsed_properties(_value_strings(spark, sf_dir), "raw", once=True)
+    found = N.parsed_properties(_value_strings(spark, sf_dir), "raw", distinct=True)
     return found.select("l_orderkey", "l_linenumber", F.round("numeric_value", 6).alias("numeric_value"), "numeric_error", "unit", "condition_str")
 
 
