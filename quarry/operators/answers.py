@@ -7,6 +7,7 @@ model runs in Python.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +71,17 @@ def answered_records(
 ) -> DataFrame:
     """Every record that a model's answer holds on a paragraph, with its material and value parsed.
 
-    Paragraphs whose call failed or whose answer is no record give none; records without a
+    Records are kept on the executors' disks until ``spark.catalog.clearCache()``, so that each
+    paragraph is asked once. Paragraphs whose call failed or whose answer is no record give none; records without a
     material, a property or a number are dropped. shots: array<struct<text:string, records:string>>.
     """
     none = F.array().cast("array<struct<text:string,records:string>>")
     requests = paragraphs.select(key, Y.few_shot_messages(none if shots is None else shots, text, instruction).alias("messages"))
-    answers = Y.unpacked(asked(requests, client, key, retries).where("status = 'done'")).select(key, "response")
-    found = parsed_properties(Y.extracted(answers), "value", units)
+    # a small file of paragraphs is few tasks, however long the answers take
+    tasks = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = Y.unpacked(asked(requests.repartition(tasks), client, key, retries).where("status = 'done'")).select(key, "response")
+    # names are collected first and joined back: without this, the model would be asked and values be read once more for them
+    found = parsed_properties(Y.extracted(answers), "value", units).persist(StorageLevel.DISK_ONLY)
     stated = F.when(F.col("condition") != "", F.col("condition")).otherwise(F.col("condition_str"))
     return parsed_materials(found, polymers, crossrefs, solvents or []).select(
         key, "entity_name", "material_class", "polymer_type", "normalized_material_name", "role", "coreferents",

@@ -3,10 +3,13 @@
 import gc
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.functions import numbers as N
 from quarry.operators import joins as J
+from quarry.operators import answers as A
+from quarry.operators import extraction as R
 from quarry.operators import scoring as S
 from quarry.sources import documents as D
 
@@ -85,7 +88,7 @@ def test_values_that_repeat_are_read_once(spark):
     rows = spark.createDataFrame([(i, x, "kept") for i, x in enumerate(raw)], "id int, raw string, other string")
     got, want = N.with_value_parts(rows, "raw"), rows.withColumn("p", N.value_parts("raw"))
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
-    once, each = (sorted(N.parsed_properties(rows, "raw", once=x).collect()) for x in (True, False))
+    once, each = (sorted(N.parsed_properties(rows, "raw", distinct=x).collect()) for x in (True, False))
     assert once == each and [r.id for r in once] == [0, 1, 2, 5]
     below = optimized(got).split("Generate", 1)[1]
     assert "Aggregate [__value" in below
@@ -107,3 +110,43 @@ def test_flagged_records_are_chosen_before_their_texts(spark, monkeypatch):
     monkeypatch.setattr(S, "FEW", 1)
     assert sorted((r.prop_id, r.material, r.error, r.score) for r in rows().collect()) == want
     assert "broadcast" not in optimized(rows())
+
+
+def test_paragraphs_are_tagged_and_read_in_slices(spark, monkeypatch):
+    assert [*R.slices(pa.array(["é", None, "c", "defg", ""]))] == [(0, 5)] and [*R.slices(pa.array([], pa.string()))] == []
+    monkeypatch.setattr(R, "CHUNK", 3)
+    assert [*R.slices(pa.array(["é", None, "c", "defg", ""]))] == [(0, 3), (3, 1), (4, 1)]
+    text = "PS has Tg of 100 K . PS has Tg of 101 K ."
+    rows = spark.createDataFrame([(i, text if i % 3 else None) for i in range(30)], "para_id long, text string").coalesce(1)
+    tagged = R.tagged(rows, R.LexiconTagger({"POLYMER": ("PS",), "PROP_NAME": ("Tg",)}))
+    got = sorted((r.para_id, r.material, r.numeric_value, r.unit) for r in R.records(tagged, {}, units=(" K",)).collect())
+    assert got == [(i, "PS", v, "K") for i in range(30) if i % 3 for v in (100.0, 101.0)]
+
+
+def test_values_of_many_properties_are_read_once_each(spark):
+    fields = "entity_name:string,value:string,coreferents:array<string>,material_name:string,material_amount_entity:string,material_amount:string,temperature_condition:string,frequency_condition:string,entity_start:int,value_start:int"
+    many = [("Tg", f"{i}" if i % 2 else f"{i} K", [], "", "", "", "", "", i, i) for i in range(200)]
+    rows = spark.createDataFrame([(many,)], f"p array<struct<{fields}>>")
+    made = rows.select(R.with_numbers(F.col("p"), (" K",)).alias("p"))
+    assert [(x.numeric_value, x.unit) for x in made.first().p] == [(float(i), "K") for i in range(199)] + [(199.0, "")]
+
+
+def test_each_paragraph_is_asked_once_and_by_many_tasks(spark, tmp_path):
+    def counting(folder):
+        class Counting:
+            def answer(self, messages):
+                import os
+                import uuid
+
+                (open(f"{folder}/{os.getpid()}-{uuid.uuid4()}", "w")).close()
+                return {"choices": [{"message": {"content": '[{"material": "PS", "property": "Tg", "value": "1 K"}]'}}]}
+
+        return Counting()
+
+    paragraphs = spark.range(40).select(F.col("id").alias("para_id"), F.col("id").cast("string").alias("text")).coalesce(1)
+    polymers, crossrefs = spark.createDataFrame([("PS", "PS!")], "name string, normalized_name string"), spark.createDataFrame([], "name string, othername string")
+    rows = A.answered_records(paragraphs, counting(str(tmp_path)), polymers, crossrefs, "List all.").collect()
+    assert sorted(r.para_id for r in rows) == list(range(40)) and {r.normalized_material_name for r in rows} == {"PS!"}
+    asked = [x.name for x in tmp_path.iterdir()]
+    assert len(asked) == 40
+    spark.catalog.clearCache()
